@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -22,6 +23,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_table
 
@@ -29,5 +37,21 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(docs, tokenizer_path(), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op8_token_ids)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import CnnConfig, fit_toxicity, score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    config = CnnConfig()
+    scored = score_toxicity(docs, fit_toxicity(docs, labels, config))
+    return scored.select(
+        "doc_id",
+        (crc_mod("doc_id", config.held_out_mod) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "threshold",
+        "rejected",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_decontaminate, op8_token_ids, op9_toxicity)}
 ORACLES: dict[str, str] = {}
