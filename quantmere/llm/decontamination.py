@@ -157,6 +157,8 @@ def match_shard(words: list[list[bytes]], block: Block) -> tuple[np.ndarray, pd.
     sa = suffix_array(live, at, block.window)
     lo, hi = find_windows(live, sa, block.windows, block.window_size)
     found = np.flatnonzero(hi > lo)
+    if not found.size:
+        return mask, none
     n = (hi - lo)[found]
     pos = sa[np.repeat(lo[found], n) + ranges(n)]
     size = np.repeat(block.window_size[found], n)

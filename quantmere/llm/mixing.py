@@ -151,18 +151,20 @@ def mix_sources(
     shard_words: int = 65536,
     max_shards: int = 4096,
     seed: int = 17,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words that the mix takes of every document.
 
     Input needs doc_id, text and source.  Returns doc_id, source, size,
-    source_size, target, taken and repeats (whole passes over its shard).  Null
+    source_size, target, taken and repeats (whole passes over its shard), with the
+    columns named in ``extra`` carried along.  Null
     or empty texts have size 0 and are never taken; a null source is a source
     of its own, last in order; equal rows are kept as rows; an empty table gives an empty
     result.  Sources of fewer words than a block still get their quota in
     words: the last block is cut to measure.
     """
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
-    sized = saved(docs.select("doc_id", key.alias("source_key"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = saved(docs.select("doc_id", *extra, key.alias("source_key"), word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sources = sources.select(F.when(~F.col("source_key.none"), F.col("source_key.name")).alias("source"), "source_key", "source_size")
     targets = source_targets(sources.select("source", "source_size"), weights, budget, max_repeat)
@@ -179,7 +181,7 @@ def mix_sources(
     line = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
     placed = spread.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     rows = placed.join(shares, ["source_key", "shard"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", *taken_words(block, max_repeat, seed))
+    return rows.select("doc_id", *extra, "source", "size", "source_size", "target", *taken_words(block, max_repeat, seed))
 
 
 def taken_words(block: int, max_repeat: float, seed: int) -> tuple[Column, Column]:

@@ -16,6 +16,12 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -53,5 +59,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_decontaminate, op8_token_ids, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op5_decontaminate, op8_token_ids, op9_toxicity)}
 ORACLES: dict[str, str] = {}
