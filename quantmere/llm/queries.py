@@ -35,6 +35,13 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_contamination
 
@@ -42,6 +49,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import quality_filter
+
+    return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_table
 
@@ -72,7 +91,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_main_text, op5_decontaminate, op8_token_ids, op9_toxicity, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_main_text, op4_licenses, op5_decontaminate, op6_quality, op7_context_tree, op8_token_ids, op9_toxicity, op10_exact_top_k)}
 ORACLES: dict[str, str] = {
     "op10_exact_top_k": """
 WITH v AS (
