@@ -1,4 +1,6 @@
 """Registered queries of the analytics operators and their DuckDB statements."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import core_queries
+
+QUERIES: dict = dict(core_queries.QUERIES)
+ORACLES: dict[str, str] = dict(core_queries.ORACLES)
