@@ -205,21 +205,22 @@ def probabilistic_sharpe_z(target_sharpe: float = 0.0, periods_per_year: float |
 
 
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, JVM-side.
+    """Standard normal distribution function, JVM-side; ``z`` should be a plain column.
 
-    The continued series of erf for small arguments and Lentz-style continued
-    fraction for the tail, unrolled; absolute error below 1e-12.
+    The series of erf below three, a continued fraction of the tail beyond, both
+    folded over a short sequence; absolute error below 1e-12.
     """
     x = F.abs(z) / 2**0.5
     # erf(x) = 2/sqrt(pi) exp(-x^2) sum 2^k x^(2k+1) / (1*3*..*(2k+1))
-    term, total = x, x
-    for k in range(1, 60):
-        term = term * (2 / (2 * k + 1)) * x * x
-        total = total + term
+    start = F.struct(x.alias("term"), x.alias("total"))
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] * (2 / (2 * k + 1)) * x * x
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda acc: acc["total"])
     series = total * F.exp(-x * x) * (2 / 3.141592653589793**0.5)
-    tail = x
-    for k in range(60, 0, -1):
-        tail = x + F.lit(k / 2) / tail
+    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1)), x, lambda acc, k: x + k / 2 / acc)
     far = 1 - F.exp(-x * x) / (tail * 3.141592653589793**0.5)
     erf = F.when(x < 3, series).otherwise(far)
     return F.when(z >= 0, 0.5 + erf / 2).otherwise(0.5 - erf / 2)
