@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, get_file, put_array, put_file, saved, shared_path, slices
+from .common import claim, crc_mod, get_file, keep_cache, put_array, put_file, saved, shared_path, slices
 from .grams import SLICE_BYTES, Shards, counted, gram_counts, gram_keys, lowered, token_counts, token_key, write_count_shards
 
 DEPTH = 5
-CACHE_GRAMS = 3_000_000
+CACHE_GRAMS = 1_500_000
 LN10 = np.log(10)
 
 
@@ -45,7 +45,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         low *= x + k
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(low)
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -247,9 +247,11 @@ def train_ctw(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Ct
 
 
 _LOADED: dict[str, tuple] = {}
+keep_cache("ctw", _LOADED.clear)
 
 
 def _load(path: str) -> tuple:
+    claim("ctw")
     if path not in _LOADED:
         _LOADED.clear()
         model, tokens, total, distinct = pickle.loads(get_file(path))

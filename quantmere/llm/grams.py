@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, get_array, put_array, saved, shared_path, slices, to_bytes
 
 END = 0xFF
-SLICE_BYTES = 3 << 20
-HELD_GRAMS = 3_000_000  # distinct keys that a task holds before it passes them on
+SLICE_BYTES = 2 << 20
+HELD_GRAMS = 1_500_000  # distinct keys that a task holds before it passes them on
 
 
 def lowered(text: str | None) -> bytes:

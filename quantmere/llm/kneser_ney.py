@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, get_file, put_array, put_file, saved, shared_path, slices
+from .common import claim, crc_mod, get_file, keep_cache, put_array, put_file, saved, shared_path, slices
 from .ctw import CACHE_GRAMS, parents
 from .grams import SLICE_BYTES, Shards, counted, gram_counts, gram_keys, lowered, write_count_shards
 
@@ -194,9 +194,11 @@ def train_kneser_ney(docs: DataFrame, text_col: str = "text", depth: int = DEPTH
 
 
 _LOADED: dict[str, object] = {}
+keep_cache("kneser_ney", _LOADED.clear)
 
 
 def _load(path: str):
+    claim("kneser_ney")
     if path not in _LOADED:
         if len(_LOADED) > 2:
             _LOADED.clear()
