@@ -11,6 +11,7 @@ import io
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -36,6 +37,21 @@ def to_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Tell how an operator's cache in this Python worker is emptied."""
+    _CACHES[owner] = clear
+
+
+def claim(owner: str) -> None:
+    """Empty the caches of all other operators: workers live longer than a stage."""
+    for name, clear in _CACHES.items():
+        if name != owner:
+            clear()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return to_bytes(text).translate(WORD_TABLE).split()
 

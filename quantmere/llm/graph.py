@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -16,14 +16,16 @@ def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFram
     the shared folder; nothing is gathered on the driver but one count.
     """
     both = saved(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "links")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
+    labels = saved(labels, "labels")
     for _ in range(most_rounds):
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen, labels.node == seen.a, "left").select("node", "label", F.least("label", "near").alias("next"))
         hop = labels.select(F.col("node").alias("hop_node"), F.col("label").alias("hop_label"))
-        jumped = saved(step.join(hop, F.col("next") == F.col("hop_node"), "left").select("node", "label", F.least("next", "hop_label").alias("next")), "labels")
-        changed = jumped.filter("label <> next").limit(1).count()
+        moved = Observation()
+        jumped = step.join(hop, F.col("next") == F.col("hop_node"), "left").select("node", "label", F.least("next", "hop_label").alias("next"))
+        jumped = saved(jumped.observe(moved, F.count_if(F.col("label") != F.col("next")).alias("n")), "labels")
         labels = jumped.select("node", F.col("next").alias("label"))
-        if not changed:
+        if not moved.get["n"]:
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -11,9 +11,8 @@ repeats).
    only up to a horizon by which every component is filled (early
    termination); documents that still have an empty one get a longer horizon.
 3. Bands of the signature are buckets.  In each bucket the members are linked
-   to one pivot and the links verified on the texts; buckets whose members
-   are in one class are done.  Other buckets get further pivots, those with
-   most verified links first.
+   to a few pivots, the first members in seeded orders, and the links verified
+   on the texts; buckets whose members are in one class then are done.
 4. What is left is compared exactly: every pair of different classes inside a
    bucket whose signatures agree often enough is verified.  Buckets of any
    size are cut into block pairs, so no task holds more than two blocks.
@@ -35,12 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, words_of
+from .common import claim, keep_cache, saved, slices, words_of
 from .graph import connected_components
 
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
-SLICE_BYTES = 3 << 20
+SHINGLE, SIMILAR, BANDS, ROWS, PIVOTS = 5, 0.8, 24, 5, 4
+SLICE_BYTES = 1 << 20
 BLOCK = 1024
+HELD_SHINGLES = 2_000_000  # of documents that a verifying task keeps at hand
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,13 +54,14 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _HASHES = WordHashes()
+keep_cache("near-dedup", _HASHES.clear)
 
 
 def shingle_hashes(docs: list[list[bytes]], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +161,7 @@ def document_sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, r
     m = bands * rows
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("near-dedup")
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in slices([len(t or "") for t in texts], SLICE_BYTES):
@@ -189,16 +191,17 @@ def node_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for batch in batches:
-            words = [words_of(t) for t in batch["text"].tolist()]
-            out = []
-            for w in words:
-                key = key_of(w)
-                if w and key not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(key)
-                    out.append((key, b" ".join(w)))
-            yield pd.DataFrame(out, columns=["key", "words"])
+            for some in np.array_split(batch["text"].to_numpy(), max(1, -(-len(batch) // 256))):
+                out = []
+                for text in some:
+                    w = words_of(text)
+                    key = key_of(w)
+                    if w and key not in seen:
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen.add(key)
+                        out.append((key, b" ".join(w)))
+                yield pd.DataFrame(out, columns=["key", "words"])
 
     every = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).mapInPandas(normal, "key binary, words binary")
     return every.join(nodes.select("key"), "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
@@ -209,13 +212,17 @@ def verify(links: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, tuple] = {}
+        held = 0
 
         def of(key: bytes, words: bytes) -> tuple:
+            nonlocal held
             if key not in known:
-                if len(known) > 500:
+                if held > HELD_SHINGLES:
                     known.clear()
+                    held = 0
                 _, h, w = weighted_shingles([words.split()], size)
                 known[key] = (h, w)
+                held += len(h)
             return known[key]
 
         for batch in batches:
@@ -229,8 +236,8 @@ def verify(links: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.mapInPandas(check, "a binary, b binary, similarity double")
 
 
-def pair_blocks(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket whose signatures agree in ``least`` of places."""
+def pair_blocks(members: DataFrame, sketches: DataFrame, least: float, top: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket whose signatures agree in ``least`` of places; with ``top``, the best of each member only."""
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
@@ -247,7 +254,10 @@ def pair_blocks(members: DataFrame, sketches: DataFrame, least: float) -> DataFr
         out = []
         for k in left:
             agree = (sig[right] == sig[k]).mean(1)
-            hit = right[(agree >= least) & (labels[right] != labels[k])]
+            near = np.flatnonzero((agree >= least) & (labels[right] != labels[k]))
+            if top is not None and len(near) > top:
+                near = near[np.argsort(-agree[near], kind="stable")[:top]]
+            hit = right[near]
             out += [(min(keys[k], keys[x]), max(keys[k], keys[x])) for x in hit]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -270,46 +280,37 @@ def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(open_.select("bucket"), "bucket", "left_semi")
 
 
-def classify(docs: DataFrame, *, size: int = SHINGLE, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def star_links(members: DataFrame, pivots: int) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's first member in each of several seeded orders."""
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "key"), F.col("key")))["key"] for k in range(pivots)]
+    hubs = members.groupBy("bucket").agg(F.array_distinct(F.array(*firsts)).alias("hubs"))
+    star = members.join(hubs, "bucket").select("key", F.explode("hubs").alias("hub")).filter("key <> hub")
+    return star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def classify(docs: DataFrame, *, size: int = SHINGLE, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, key, label) of every row, and the links (a, b, similarity) verified."""
     sketches = saved(document_sketches(docs, id_col, text_col, bands, rows, size), "sketches")
-    nodes = sketches.filter(F.col("bands").isNotNull()).select("key", "bands", "sig").dropDuplicates(["key"])
+    nodes = sketches.filter(F.col("bands").isNotNull()).select("key", "bands").dropDuplicates(["key"])
     spread = nodes.select("key", F.explode("bands").alias("bucket"))
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = saved(spread.join(counts, "bucket", "left_semi"), "bucket-members")
     inside = saved(members.select("key").distinct(), "linked-nodes")
     texts = saved(node_texts(docs, inside, text_col), "node-texts")
-    labels = inside.select("key", F.col("key").alias("label"))
-    tried = None
-    for turn in range(pivot_rounds + 1):
+    first = saved(verify(star_links(members, pivots), texts, size), "star-links")
+    labels = relabel(inside.select("key", F.col("key").alias("label")), first.filter(F.col("similarity") >= similar))
+    # buckets that still hold more than one class are compared exactly: nearest pairs first, then all the rest
+    slack = 4 * (similar * (1 - similar) / (bands * rows)) ** 0.5
+    links = first
+    for top in (4, None):
         rest = saved(unresolved(members, labels), "open-buckets")
-        if turn < pivot_rounds:
-            order = F.struct(F.xxhash64(F.lit(0 if turn < 2 else turn), "key"), F.col("key"))
-            if turn:
-                good = tried.filter(F.col("similarity") >= similar)
-                degree = good.select(F.col("a").alias("key")).union(good.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("degree"))
-                ranked = rest.join(degree, "key", "left").withColumn("order", F.struct(-F.coalesce("degree", F.lit(0)), order))
-            else:
-                ranked = rest.withColumn("order", order)
-            pivots = ranked.groupBy("bucket").agg(F.min(F.struct("order", "key", "label")).alias("p")).select("bucket", F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"))
-            star = rest.join(pivots, "bucket").filter("label <> pivot_label")
-            links = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        else:
-            some = sketches.filter(F.col("sig").isNotNull()).select("key", "sig").join(rest.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-            slack = 4 * (similar * (1 - similar) / (bands * rows)) ** 0.5
-            links = pair_blocks(rest, some, similar - slack)
-        if tried is not None:
-            links = links.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        checked = saved(verify(links, texts, size), "checked-links")
-        if not checked.limit(1).count():
-            if turn < pivot_rounds:
-                continue  # nothing new for this pivot order; the last turn compares the rest
-            break
-        tried = checked if tried is None else tried.union(checked)
+        some = sketches.filter(F.col("sig").isNotNull()).select("key", "sig").join(rest.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        more = pair_blocks(rest, some, similar - slack, top).join(links.select("a", "b"), ["a", "b"], "left_anti")
+        checked = saved(verify(more, texts, size), "pair-links")
+        links = links.union(checked)
         labels = relabel(labels, checked.filter(F.col("similarity") >= similar))
     found = sketches.select("doc_id", "row", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    none = docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-    return found, (none if tried is None else tried).filter(F.col("similarity") >= similar)
+    return found, links.filter(F.col("similarity") >= similar)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
