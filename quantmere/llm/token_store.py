@@ -15,6 +15,7 @@ document offsets, then for every level its packed chunks, bitmap and ranks.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import get_file, put_file, saved, shared_path
+from .common import claim, get_file, keep_cache, put_file, saved, shared_path
 
 MAGIC = b"QMDAC1"
 BLOCK = 512  # bits of a rank block
@@ -155,7 +156,8 @@ class TokenFile:
 
 
 _TOKENIZERS: dict[str, tuple] = {}
-CACHE_PIECES = 500_000
+keep_cache("tokens", _TOKENIZERS.clear)
+CACHE_PIECES = 300_000
 TRAILING = ".,;:!?)|*%$#&"
 
 
@@ -175,6 +177,32 @@ def _pieces(text: str) -> list[str]:
     return out
 
 
+#: Letters that every version of Unicode counts as such: with a blank before them at most, they are one pre-token.
+PLAIN_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes are themselves, the others follow from code point 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LEVEL = _byte_alphabet()
+
+
+def _encode_unseen(tok, bare, pieces: list[str]) -> dict[str, bytes]:
+    """Ids of pieces: plain words by the model alone, anything else by the whole tokenizer."""
+    out = {}
+    plain = [p for p in pieces if PLAIN_WORD.fullmatch(p)]
+    other = list(set(pieces).difference(plain))
+    for tool, some, texts in ((bare, plain, [p.encode().decode("latin-1").translate(BYTE_LEVEL) for p in plain]), (tok, other, other)):
+        for k in range(0, len(some), 4096):
+            for piece, e in zip(some[k : k + 4096], tool.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False), strict=True):
+                out[piece] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def _finer(piece: str) -> list[str]:
     """A piece cut around single line feeds and before closing punctuation.
 
@@ -197,7 +225,7 @@ def _finer(piece: str) -> list[str]:
 
 
 def load_tokenizer(path: str) -> tuple:
-    """(tokenizer, ids of pieces, ids of finer pieces, whether pieces may be encoded apart)."""
+    """(tokenizer, its model alone, ids of pieces, ids of finer pieces, whether pieces may be encoded apart)."""
     if path not in _TOKENIZERS:
         import json
 
@@ -208,13 +236,14 @@ def load_tokenizer(path: str) -> tuple:
             spec = json.load(src)
         pre = spec.get("pre_tokenizer") or {}
         apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {}, apart)
+        tok = Tokenizer.from_file(path)
+        _TOKENIZERS[path] = (tok, Tokenizer(tok.model), {}, {}, apart)
     return _TOKENIZERS[path]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text as little-endian uint32, as the tokenizer gives them."""
-    tok, cache, finer, apart = load_tokenizer(path)
+    tok, bare, cache, finer, apart = load_tokenizer(path)
     if not apart:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     cut = [_pieces(t) for t in texts]
@@ -222,11 +251,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         if len(known) > CACHE_PIECES:
             known.clear()
     new = {p: _finer(p) for p in {p for pieces in cut for p in pieces}.difference(cache)}
-    unseen = list({x for parts in new.values() for x in parts}.difference(finer))
-    for k in range(0, len(unseen), 4096):
-        some = unseen[k : k + 4096]
-        for piece, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            finer[piece] = np.array(e.ids, "<u4").tobytes()
+    finer.update(_encode_unseen(tok, bare, list({x for parts in new.values() for x in parts}.difference(finer))))
     for piece, parts in new.items():
         cache[piece] = b"".join([finer[x] for x in parts])
     return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
@@ -248,6 +273,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, out_dir: str |
     out_dir = out_dir or shared_path(spark, "tokens")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("tokens")
         part, seq = TaskContext.get().partitionId(), 0
         attempt = TaskContext.get().taskAttemptId()
         doc_ids: list = []
@@ -309,7 +335,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     }
                 )
 
-    spread = manifest.select("path", "base").repartition(F.col("path"))
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.select("path", "base").repartition(tasks, "path")  # a number of its own, so few files aren't read by one task
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
