@@ -15,6 +15,7 @@ block, largest first, which makes the remaining mass small early.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import get_file, put_file, saved, shared_path
 
 ROWS = 4096  # candidates in a block
 QUERIES = 512  # queries in a block
@@ -41,24 +42,26 @@ def quantized(vec: Column, scale: int) -> Column:
 
 
 def packed(rows: DataFrame, n_blocks: int, name: str) -> DataFrame:
-    """(block, ids, data, width, n): ids and vectors of a block as bytes, dimension by dimension."""
+    """(block, ids, data, width, kind, n): ids and vectors of a block as bytes, dimension by dimension."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
         width = int(group["vec"].map(len).max())
-        data = np.zeros((len(group), width), "<i8")  # shorter vectors are padded with zeros
+        peak = max((abs(int(x)) for v in group["vec"] for x in (v.min(initial=0), v.max(initial=0))), default=0)
+        kind = "<i2" if peak < 1 << 15 else "<i4" if peak < 1 << 31 else "<i8"
+        data = np.zeros((len(group), width), kind)  # shorter vectors are padded with zeros
         for k, v in enumerate(group["vec"]):
             data[k, : len(v)] = v
         ids = group["vec_id"].to_numpy("<i8")
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "ids": [ids.tobytes()], "data": [np.ascontiguousarray(data.T).tobytes()], "width": [width], "n": [len(group)]})
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "ids": [ids.tobytes()], "data": [np.ascontiguousarray(data.T).tobytes()], "width": [width], "kind": [kind], "n": [len(group)]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n_blocks)))
-    return saved(dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, data binary, width int, n int"), name)
+    return saved(dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, data binary, width int, kind string, n int"), name)
 
 
-def _matrix(data: bytes, width: int, n: int, full: int) -> np.ndarray:
+def _matrix(data: bytes, width: int, kind: str, n: int, full: int) -> np.ndarray:
     out = np.zeros((full, n), np.int64)
-    out[:width] = np.frombuffer(data, "<i8").reshape(width, n)
+    out[:width] = np.frombuffer(data, kind).reshape(width, n)
     return out
 
 
@@ -70,16 +73,16 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 class QueryBlock:
     """Queries with their best results so far."""
 
-    def __init__(self, ids: bytes, data: bytes, width: int, n: int, k: int, floor: np.ndarray | None = None) -> None:
-        self.ids, self.q, self.k = np.frombuffer(ids, "<i8"), _matrix(data, width, n, width), k
+    def __init__(self, ids: bytes, data: bytes, width: int, kind: str, n: int, k: int, floor: np.ndarray | None = None) -> None:
+        self.ids, self.q, self.k = np.frombuffer(ids, "<i8"), _matrix(data, width, kind, n, width), k
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
         none = np.iinfo(np.int64).min
         self.floor = np.full(n, none) if floor is None else floor.copy()  # a k-th best score known to exist
         self.peak = int(np.abs(self.q).max(initial=0))
 
-    def search(self, ids: np.ndarray, data: bytes, width: int) -> None:
+    def search(self, ids: np.ndarray, data: bytes, width: int, kind: str) -> None:
         full = max(width, len(self.q))
-        cand = _matrix(data, width, len(ids), full)
+        cand = _matrix(data, width, kind, len(ids), full)
         q = np.zeros((full, self.q.shape[1]), np.int64)
         q[: len(self.q)] = self.q
         mass = (cand.astype(float) ** 2).sum(1)
@@ -141,30 +144,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 25
     n_c, n_q = cand.count(), asked.count()
     c_blocks = packed(cand, max(1, -(-n_c // ROWS)), "candidate-blocks")
     q_blocks = packed(asked, max(1, -(-n_q // QUERIES)), "query-blocks")
-    # thresholds: the k-th best of one block
-    seed = c_blocks.orderBy("block").limit(1).select(F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.col("width").alias("c_width"), F.lit(0).alias("one"))
+    # thresholds: the k-th best of one block, which workers read from the shared folder
+    seed_uri = shared_path(vectors.sparkSession, "seed-block") + ".pkl"
+
+    def put_seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            r = batch.iloc[0]
+            put_file(seed_uri, pickle.dumps((r["ids"], r["data"], int(r["width"]), r["kind"])))
+            yield pd.DataFrame({"done": [True]})
+
+    seeded = c_blocks.orderBy("block").limit(1).mapInPandas(put_seed, "done boolean").count()
 
     def with_floor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, data, width, kind = pickle.loads(get_file(seed_uri))
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                block = QueryBlock(r.ids, r.data, r.width, r.n, k)
-                block.search(np.frombuffer(r.c_ids, "<i8"), r.c_data, r.c_width)
-                out.append((r.block, r.ids, r.data, r.width, r.n, block.floor.tobytes()))
-            yield pd.DataFrame(out, columns=["block", "ids", "data", "width", "n", "floor"])
+                block = QueryBlock(r.ids, r.data, r.width, r.kind, r.n, k)
+                block.search(np.frombuffer(ids, "<i8"), data, width, kind)
+                out.append((r.block, r.ids, r.data, r.width, r.kind, r.n, block.floor.tobytes()))
+            yield pd.DataFrame(out, columns=["block", "ids", "data", "width", "kind", "n", "floor"])
 
-    started = q_blocks.withColumn("one", F.lit(0)).join(seed, "one").repartition(F.col("block")).mapInPandas(with_floor, "block long, ids binary, data binary, width int, n int, floor binary")
+    started = q_blocks.repartition(max(1, -(-n_q // QUERIES)), "block") if seeded else q_blocks.limit(0)
+    started = started.mapInPandas(with_floor, "block long, ids binary, data binary, width int, kind string, n int, floor binary")
     # a query block goes to each group of candidate blocks, which it reads one after another
     groups = int(max(1, min(64, -(-n_c // ROWS))))
     asked_in = saved(started, "query-floors").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     found_in = c_blocks.withColumn("group", F.pmod(F.col("block"), F.lit(groups)).cast("int"))
-    pairs = found_in.select("group", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.col("width").alias("c_width")).join(asked_in, "group")
+    pairs = found_in.select("group", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.col("width").alias("c_width"), F.col("kind").alias("c_kind")).join(asked_in, "group")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                block = QueryBlock(r.ids, r.data, r.width, r.n, k, np.frombuffer(r.floor, "<i8"))
-                block.search(np.frombuffer(r.c_ids, "<i8"), r.c_data, r.c_width)
+                block = QueryBlock(r.ids, r.data, r.width, r.kind, r.n, k, np.frombuffer(r.floor, "<i8"))
+                block.search(np.frombuffer(r.c_ids, "<i8"), r.c_data, r.c_width, r.c_kind)
                 yield block.rows()
 
     partial = pairs.mapInPandas(scan, "query_id long, vec_id long, score long")
