@@ -133,7 +133,7 @@ def _lines(s, d) -> DataFrame:
 
 _stats = " UNION ALL ".join(
     [
-        f"""SELECT '{c}' AS "column", 'double' AS dtype, count({c}) AS count, count(*) - count({c}) AS missing, round((count(*) - count({c})) * 100.0 / count(*), 5) AS missing_pct, count(DISTINCT {c}) AS "distinct", round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std, round(min({c}), 5) AS min, round(quantile_cont({c}, 0.25), 5) AS q25, round(quantile_cont({c}, 0.5), 5) AS median, round(quantile_cont({c}, 0.75), 5) AS q75, round(max({c}), 5) AS max, round(skewness({c}), 5) AS skew, round(kurtosis({c}), 5) AS kurt, round(count(*) FILTER (WHERE {c} = 0) * 100.0 / count(*), 5) AS zeros_pct, 0.0::DOUBLE AS inf_pct FROM lineitem"""
+        f"""SELECT '{c}' AS "column", 'double' AS dtype, count({c}) AS count, count(*) - count({c}) AS missing, round((count(*) - count({c})) * 100.0 / count(*), 5) AS missing_pct, count(DISTINCT {c}) AS "distinct", round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std, round(min({c}), 5) + 0.0::DOUBLE AS min, round(quantile_cont({c}, 0.25), 5) AS q25, round(quantile_cont({c}, 0.5), 5) AS median, round(quantile_cont({c}, 0.75), 5) AS q75, round(max({c}), 5) AS max, round(skewness({c}), 5) AS skew, round(kurtosis({c}), 5) AS kurt, round(count(*) FILTER (WHERE {c} = 0) * 100.0 / count(*), 5) AS zeros_pct, 0.0::DOUBLE AS inf_pct FROM lineitem"""
         for c in _num
     ]
     + [
@@ -153,7 +153,7 @@ register("overview", "WITH d AS (SELECT coalesce(sum(n - 1), 0) AS dup FROM (SEL
 )
 register(
     "describe",
-    " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{n}' AS stat, round({x}, 6) AS value FROM lineitem""" for c in _num for n, x in {"count": f"CAST(count({c}) AS DOUBLE)", "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "25%": f"quantile_cont({c}, 0.25)", "50%": f"quantile_cont({c}, 0.5)", "75%": f"quantile_cont({c}, 0.75)", "max": f"max({c})"}.items()),
+    " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{n}' AS stat, round({x}, 6) + 0.0::DOUBLE AS value FROM lineitem""" for c in _num for n, x in {"count": f"CAST(count({c}) AS DOUBLE)", "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "25%": f"quantile_cont({c}, 0.25)", "50%": f"quantile_cont({c}, 0.5)", "75%": f"quantile_cont({c}, 0.75)", "max": f"max({c})"}.items()),
     6,
 )(lambda s, d: E.describe(_lines(s, d)))
 _pairs = [(a, b) for k, a in enumerate(_num) for b in list(_num)[k + 1 :]]
