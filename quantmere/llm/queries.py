@@ -46,7 +46,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_contamination
 
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_main_text, op4_licenses, op5_decontaminate, op6_quality, op7_context_tree, op8_token_ids, op9_toxicity, op10_exact_top_k)}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op5_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+  i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS g FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(k) WHERE len(w) > 0),
+  places AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM wins) s, unnest(range(1, greatest(len(w) - n + 2, 1))) t(p)),
+  hits AS (SELECT rid, p, n, item_id FROM places JOIN wins USING (n, g)),
+  words AS (SELECT rid, count(DISTINCT q) AS n_hit FROM hits, unnest(range(p, p + n)) t(q) GROUP BY rid),
+  items AS (SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+""",
     "op10_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
