@@ -19,8 +19,8 @@ def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFram
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
     labels = saved(labels, "labels")
     for _ in range(most_rounds):
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(seen, labels.node == seen.a, "left").select("node", "label", F.least("label", "near").alias("next"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", "near").alias("next"))
         hop = labels.select(F.col("node").alias("hop_node"), F.col("label").alias("hop_label"))
         moved = Observation()
         jumped = step.join(hop, F.col("next") == F.col("hop_node"), "left").select("node", "label", F.least("next", "hop_label").alias("next"))

@@ -31,7 +31,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import claim, keep_cache, saved, slices, words_of
@@ -306,9 +306,12 @@ def classify(docs: DataFrame, *, size: int = SHINGLE, similar: float = SIMILAR,
         rest = saved(unresolved(members, labels), "open-buckets")
         some = sketches.filter(F.col("sig").isNotNull()).select("key", "sig").join(rest.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
         more = pair_blocks(rest, some, similar - slack, top).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        checked = saved(verify(more, texts, size), "pair-links")
+        seen = Observation()
+        alike = F.count_if(F.col("similarity") >= similar).alias("n")
+        checked = saved(verify(more, texts, size).observe(seen, alike), "pair-links")
         links = links.union(checked)
-        labels = relabel(labels, checked.filter(F.col("similarity") >= similar))
+        if seen.get["n"]:
+            labels = relabel(labels, checked.filter(F.col("similarity") >= similar))
     found = sketches.select("doc_id", "row", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     return found, links.filter(F.col("similarity") >= similar)
 
