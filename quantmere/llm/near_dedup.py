@@ -236,32 +236,57 @@ def verify(links: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.mapInPandas(check, "a binary, b binary, similarity double")
 
 
-def pair_blocks(members: DataFrame, sketches: DataFrame, least: float, top: int | None = None) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket whose signatures agree in ``least`` of places; with ``top``, the best of each member only."""
+def compare_blocks(members: DataFrame, sketches: DataFrame, texts: DataFrame, *, similar: float, least: float, rows: int, size: int) -> DataFrame:
+    """Links (a, b, similarity) between different labels inside buckets, compared exactly.
+
+    Signatures must agree in ``least`` of places for the texts to be compared.  A
+    pair is compared in the first band that it shares, and not at all once its
+    labels are joined in the task, so the output is links, not pairs.
+    """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
     dealt = placed.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = dealt.join(sketches.select("key", "sig"), "key").select("bucket", "i", "j", "own", "key", "label", "sig")
+    full = dealt.join(sketches.select("key", "sig"), "key").join(texts, "key").select("bucket", "band", "i", "j", "own", "key", "label", "sig", "words")
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        i, j, band = (int(group[c].iloc[0]) for c in ("i", "j", "band"))
         sig = np.stack([np.frombuffer(s, "<u4") for s in group["sig"]])
-        labels = pd.factorize(group["label"])[0]
-        keys = group["key"].to_numpy()
-        own = group["own"].to_numpy()
+        code = pd.factorize(group["label"])[0]
+        root = np.arange(code.max() + 1)
+        keys, words, own = group["key"].tolist(), group["words"].tolist(), group["own"].to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        known: dict[int, tuple] = {}
+        held = 0
         out = []
+
+        def of(k: int) -> tuple:
+            nonlocal held
+            if k not in known:
+                if held > HELD_SHINGLES:
+                    known.clear()
+                    held = 0
+                _, h, w = weighted_shingles([words[k].split()], size)
+                known[k] = (h, w)
+                held += len(h)
+            return known[k]
+
         for k in left:
             agree = (sig[right] == sig[k]).mean(1)
-            near = np.flatnonzero((agree >= least) & (labels[right] != labels[k]))
-            if top is not None and len(near) > top:
-                near = near[np.argsort(-agree[near], kind="stable")[:top]]
-            hit = right[near]
-            out += [(min(keys[k], keys[x]), max(keys[k], keys[x])) for x in hit]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return rows.groupBy("bucket", "i", "j").applyInPandas(pairs, "a binary, b binary").distinct()
+            near = np.flatnonzero((agree >= least) & (root[code[right]] != root[code[k]]))
+            for x in right[near[np.argsort(-agree[near], kind="stable")]]:
+                if root[code[x]] == root[code[k]] or (i == j and x < k):
+                    continue
+                shared = (sig[x] == sig[k]).reshape(-1, rows).all(1)
+                if int(shared.argmax()) != band:
+                    continue  # compared in an earlier band
+                value = probability_jaccard(of(int(k)), of(int(x)))
+                if value >= similar:
+                    out.append((min(keys[k], keys[x]), max(keys[k], keys[x]), value))
+                    root[root == root[code[x]]] = root[code[k]]
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return full.groupBy("bucket", "i", "j").applyInPandas(links, "a binary, b binary, similarity double")
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,26 +317,23 @@ def classify(docs: DataFrame, *, size: int = SHINGLE, similar: float = SIMILAR,
     """(doc_id, row, key, label) of every row, and the links (a, b, similarity) verified."""
     sketches = saved(document_sketches(docs, id_col, text_col, bands, rows, size), "sketches")
     nodes = sketches.filter(F.col("bands").isNotNull()).select("key", "bands").dropDuplicates(["key"])
-    spread = nodes.select("key", F.explode("bands").alias("bucket"))
+    spread = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = saved(spread.join(counts, "bucket", "left_semi"), "bucket-members")
     inside = saved(members.select("key").distinct(), "linked-nodes")
     texts = saved(node_texts(docs, inside, text_col), "node-texts")
     first = saved(verify(star_links(members, pivots), texts, size), "star-links")
     labels = relabel(inside.select("key", F.col("key").alias("label")), first.filter(F.col("similarity") >= similar))
-    # buckets that still hold more than one class are compared exactly: nearest pairs first, then all the rest
+    # buckets that still hold more than one class are compared exactly
+    rest = saved(unresolved(members, labels), "open-buckets")
+    some = sketches.filter(F.col("sig").isNotNull()).select("key", "sig").join(rest.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     slack = 4 * (similar * (1 - similar) / (bands * rows)) ** 0.5
-    links = first
-    for top in (4, None):
-        rest = saved(unresolved(members, labels), "open-buckets")
-        some = sketches.filter(F.col("sig").isNotNull()).select("key", "sig").join(rest.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-        more = pair_blocks(rest, some, similar - slack, top).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        seen = Observation()
-        alike = F.count_if(F.col("similarity") >= similar).alias("n")
-        checked = saved(verify(more, texts, size).observe(seen, alike), "pair-links")
-        links = links.union(checked)
-        if seen.get["n"]:
-            labels = relabel(labels, checked.filter(F.col("similarity") >= similar))
+    seen = Observation()
+    exact = compare_blocks(rest, some, texts, similar=similar, least=similar - slack, rows=rows, size=size)
+    exact = saved(exact.observe(seen, F.count("*").alias("n")), "exact-links")
+    links = first.union(exact)
+    if seen.get["n"]:
+        labels = relabel(labels, exact)
     found = sketches.select("doc_id", "row", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     return found, links.filter(F.col("similarity") >= similar)
 

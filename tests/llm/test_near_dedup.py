@@ -103,17 +103,19 @@ def test_repeats_and_empty(spark):
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_pair_blocks_splits_large_buckets(spark, monkeypatch):
+def test_blocks_split_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
-    rng = np.random.default_rng(1)
-    sigs = rng.integers(0, 2**32, (12, 20), dtype=np.uint32)
-    sigs[7] = sigs[2]
-    sigs[11] = sigs[0]
-    keys = [bytes([k]) for k in range(12)]
-    members = spark.createDataFrame([(1, bytearray(k), bytearray(k)) for k in keys], "bucket long, key binary, label binary")
-    sketches = spark.createDataFrame([(bytearray(k), bytearray(s.astype("<u4").tobytes())) for k, s in zip(keys, sigs, strict=True)], "key binary, sig binary")
-    got = {(bytes(r.a)[0], bytes(r.b)[0]) for r in N.pair_blocks(members, sketches, 0.9).collect()}
-    assert got == {(2, 7), (0, 11)}
+    texts = [b" ".join(b"w%d" % (k * 100 + x) for x in range(30)) for k in range(12)]
+    texts[7], texts[11] = texts[2] + b" end", texts[0] + b" end"
+    doc, h, w = N.weighted_shingles([t.split() for t in texts])
+    sigs = (N.prob_minhash(doc, h, w, 12, 20) >> np.uint64(32)).astype("<u4")
+    sigs[:, :5] = 1  # all share the first band
+    keys = [bytearray([k]) for k in range(12)]
+    members = spark.createDataFrame([(1, 0, k, k) for k in keys], "bucket long, band int, key binary, label binary")
+    sketches = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in zip(keys, sigs, strict=True)], "key binary, sig binary")
+    words = spark.createDataFrame([(k, bytearray(t)) for k, t in zip(keys, texts, strict=True)], "key binary, words binary")
+    out = N.compare_blocks(members, sketches, words, similar=0.8, least=0.5, rows=5, size=5)
+    assert {(bytes(r.a)[0], bytes(r.b)[0]) for r in out.collect()} == {(2, 7), (0, 11)}
 
 
 def test_components(spark):
