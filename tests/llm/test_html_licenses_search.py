@@ -30,6 +30,28 @@ def test_wrapper_finds_unmarked_template():
     assert H.extract_group(pages) == [f"Story number {k} tells of {k * 7} things and more.\nSecond paragraph {k}." for k in range(6)]
 
 
+def _boilerplate(k, top="Site name"):
+    return f"<body><div><span>{top}</span></div><div><p>Story number {k} tells of {k * 7} things and more.</p><p>Second paragraph {k}.</p></div><div><p>All rights belong to us.</p></div></body>"
+
+
+@pytest.mark.parametrize("first", [None, "", "<!-- gone -->", "<body><div><sp", "<body><table><tr><td>Home</td></tr></table></body>", "error 500"])
+def test_no_first_page_switches_induction_off(first):
+    want = [f"Story number {k} tells of {k * 7} things and more.\nSecond paragraph {k}." for k in range(6)]
+    assert H.extract_group([first, *[_boilerplate(k) for k in range(6)]])[1:] == want
+
+
+def test_each_layout_has_its_template():
+    shop = [f"<body><table><tr><td>Shop of things</td><td><ul><li>Item {k} costs {k * 3} coins at present.</li></ul></td></tr></table><h5>Call us</h5></body>" for k in range(5)]
+    out = H.extract_group([*shop, *[_boilerplate(k) for k in range(6)]])
+    assert out[:5] == [f"Item {k} costs {k * 3} coins at present." for k in range(5)]
+    assert out[5:] == [f"Story number {k} tells of {k * 7} things and more.\nSecond paragraph {k}." for k in range(6)]
+
+
+def test_template_that_the_first_reference_lacks():
+    rows = [f"<body><div><p>Story number {k} tells of {k * 7} things and more.</p></div>{'<h6>Call us now</h6>' if k else ''}</body>" for k in range(6)]
+    assert H.extract_group(rows) == [f"Story number {k} tells of {k * 7} things and more." for k in range(6)]
+
+
 def test_copies_keep_their_text():
     pages = [f"<article><h1>T</h1><p>{'same words here. ' * 20}</p><p>v{k}</p></article>" for k in range(5)]
     assert all("same words" in t for t in H.extract_group(pages))
