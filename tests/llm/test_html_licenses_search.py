@@ -52,6 +52,39 @@ def test_template_that_the_first_reference_lacks():
     assert H.extract_group(rows) == [f"Story number {k} tells of {k * 7} things and more." for k in range(6)]
 
 
+STORY = "A story that is told at some length, in words enough."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='layout has-sidebar'><article><p>{STORY}</p></article><div class=sidebar>Side</div></div>", STORY),
+        (f"<div class='content with-comments'><p>{STORY}</p><div class=comments>me too</div></div>", STORY),
+        (f"<div id=search-result><p>{STORY}</p></div>", STORY),
+        (f"<div class=page-menu-left><main><p>Few.</p></main></div><p>{STORY}</p>", "Few."),
+        (f"<p>{STORY}</p><div class=related><article>Another</article></div><div class=comments>me too</div>", STORY),
+        (f"<article><p>{STORY}</p></article><div class=comments>{STORY * 9}</div>", STORY),
+        ("<p title='the hidden cost'>a</p><p data-id=search>b</p><p alt='display: none'>c</p>", "a\nb\nc"),
+        ("<div><p>yes</p><p HIDDEN=''>a</p><p aria-hidden = 'true'>b</p><p style='top:0; DISPLAY : none'>c</p><p hidden/></div>", "yes"),
+        ("<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding=tex>E=m</annotation></math> holds.</p>", "So E=m holds."),
+    ],
+)
+def test_names_do_not_hide_the_content(page, text):
+    assert H.extract_group([page]) == [text]
+
+
+def test_varying_slot_under_a_name_is_content():
+    menu = "<div class=sidebar><p>" + "Long list of places to go. " * 8 + "</p></div>"
+    pages = [f"<body><div class='has-sidebar'><article><p>Story {k} tells of {k * 7} things.</p></article></div>{menu}<p>Same foot.</p></body>" for k in range(6)]
+    pages = [p.replace("<article>", "<div>").replace("</article>", "</div>") if k % 2 else p for k, p in enumerate(pages)]
+    assert H.extract_group(pages) == [f"Story {k} tells of {k * 7} things." for k in range(6)]
+
+
+def test_copies_under_a_name_keep_their_text():
+    pages = [f"<div class=has-sidebar><article><p>{STORY}</p></article></div><script>{k}</script>" for k in range(5)]
+    assert H.extract_group(pages) == [STORY] * 5
+
+
 def test_copies_keep_their_text():
     pages = [f"<article><h1>T</h1><p>{'same words here. ' * 20}</p><p>v{k}</p></article>" for k in range(5)]
     assert all("same words" in t for t in H.extract_group(pages))
