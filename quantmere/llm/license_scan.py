@@ -1,7 +1,7 @@
 """License detection by ordered signature rules.
 
 Rules are regexes with a keyword, a kind and a priority.  One Aho-Corasick pass
-over the text finds the keywords; only rules whose keyword occurs are run.
+over the text, gaps folded, finds the keywords; only rules whose keyword occurs are run.
 Their matches are intervals: taken in the order of priority, then length, a
 match inside an accepted one is suppressed (the name inside its grant, the
 grant inside the full notice, the plain name inside the longer one).
@@ -28,7 +28,8 @@ from .common import LOWER_TABLE, WORD_TABLE, to_bytes
 BASE_PHRASES = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
 #: Between words of a notice: blanks, line breaks and comment marks.
-GAP = r"[\s*#/;:,.\"'()\-_|]{1,24}"
+MARKS = "*#/;:,.\"'()-_|"
+GAP = rf"[\s{re.escape(MARKS)}]{{1,24}}"
 VERSION = rf"(?:{GAP})?(?:v(?:er(?:sion)?)?{GAP})?v?\.?"
 
 #: Fixed values: (label, SPDX pattern, keyword, name pattern; a blank in it stands for GAP).
@@ -94,7 +95,7 @@ FAMILIES = [
     ("ecl-2.0", r"ecl-2\.0", "educational community", rf"educational community licen[cs]e(?:{VERSION}2\.0)?"),
     ("blueoak-1.0.0", r"blueoak-1\.0\.0", "blue oak", rf"blue oak model licen[cs]e(?:{VERSION}1\.0\.0)?"),
     ("llama-community", r"llama-?[23](?:\.\d)?", "community licen", r"llama [23](?:\.\d)? community licen[cs]e(?: agreement)?"),
-    ("openrail-m", r"openrail(?:\+\+)?(?:-m)?", "openrail", r"(?:creativeml )?open ?rail(?:\+\+)? ?m? licen[cs]e"),
+    ("openrail-m", r"openrail(?:\+\+)?(?:-m)?", "openrail|open rail", r"(?:creativeml )?open ?rail(?:\+\+)? ?m? licen[cs]e"),
 ]
 
 #: Creative Commons: every element set in every version, by rule.
@@ -153,6 +154,23 @@ def _gaps(pattern: str) -> str:
     return pattern.replace(" ", GAP)
 
 
+_FOLDED = {ord(c): " " for c in MARKS}
+
+
+def fold(text: str) -> str:
+    """Every run of what GAP allows as one blank."""
+    return " ".join(text.translate(_FOLDED).split())
+
+
+def _spdx_keys(pattern: str) -> tuple[str, ...]:
+    """What each alternative of an SPDX pattern begins with."""
+    out = []
+    for part in re.sub(r"\([^()]*\)\??", "", pattern).split("|"):
+        plain = re.match(r"(?:[a-z0-9-](?!\?)|\\\.)+", part)
+        out.append(fold(plain[0].replace("\\", "")))
+    return tuple(out)
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
@@ -167,7 +185,7 @@ def rules() -> tuple[Rule, ...]:
     for label, spdx, keyword, name in families:
         for kind, (priority, confidence, template) in TEMPLATES.items():
             body = template.replace("{spdx}", spdx).replace("{name}", _gaps(name)).replace("{{", "{").replace("}}", "}")
-            keys = ("spdx",) if kind == "tag" else tuple(keyword.split("|"))
+            keys = ("spdx",) if kind == "tag" else tuple(keyword.split("|")) + (_spdx_keys(spdx) if kind == "header" else ())
             out.append(Rule(f"{label}/{kind}", label, keys, priority, confidence, re.compile(body)))
     for k, (label, keyword, sentence) in enumerate(NOTICES):
         weak = label in ("copyright-notice", "all-rights-reserved", "proprietary", "public-domain")
@@ -182,7 +200,7 @@ def automaton():
 
     by_key: dict[str, list[int]] = {}
     for k, rule in enumerate(rules()):
-        for key in rule.keywords:
+        for key in {fold(key) for key in rule.keywords}:
             by_key.setdefault(key, []).append(k)
     a = ahocorasick.Automaton()
     for key, numbers in by_key.items():
@@ -192,15 +210,13 @@ def automaton():
 
 
 def gate(text: str) -> set[int]:
-    """Numbers of the rules whose keyword occurs; a blank in a keyword may be any blank."""
-    flat = text.translate(_BLANKS)
+    """Numbers of the rules whose keyword occurs; a blank in a keyword may be anything that GAP allows."""
     active: set[int] = set()
-    for _, numbers in automaton().iter(flat):
+    for _, numbers in automaton().iter(fold(text)):
         active.update(numbers)
     return active
 
 
-_BLANKS = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 #: Any rule needs one of these; most texts have none and skip the automaton.
 ROOTS = re.compile(r"licen[cs]|spdx|gpl|copyright|permi|public|free soft|cc|bsd|apache|mit|redistribut|wtfpl|mpl|epl|cddl|eupl|odbl|pddl|openrail|rights reserved|proprietary|confidential|altered source|unencumbered|ofl|psf|ncsa|neither the name|advertising mat|received a copy|you may not use|source code form|isc|zlib|x11")
 

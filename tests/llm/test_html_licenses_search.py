@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -115,6 +117,62 @@ def test_license_labels(text, labels):
     assert L.scan_text(text)["labels"] == labels
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("/* GNU General\n * Public License version 2 */", "gpl,gpl-2.0"),
+        ("gnu general\r\npublic license", "gpl"),
+        ("# Mozilla\n#  Public License, v. 2.0", "mpl-2.0"),
+        ("// Redistribution and\n//   use in source and binary forms, with or without\n// modification, are permitted", "bsd"),
+        ("* Permission is\n *  hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        ("license: ms-pl", "ms-pl"),
+        ("license = python-2.0", "psf-2.0"),
+    ],
+)
+def test_wrapped_notices(text, labels):
+    assert L.scan_text(text)["labels"] == labels
+
+
+def examples(pattern):
+    """Matches of a pattern: each alternative and optional part once, gaps as comment lines."""
+    from re import _parser as P
+
+    def draw(items):  # the first is the plainest
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(arg)]
+            elif name == "SUBPATTERN":
+                some = draw(arg[3])
+            elif name == "BRANCH":
+                some = [x for b in arg[1] for x in draw(b)]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                least, most, body = arg
+                gap = (least, most) == (1, 24)
+                some = ["\n * "] if gap else [x * max(least, 1) for x in draw(body)][:: 1 if most > 0 else -1]
+                some = some if least else ["", *some]
+            elif name == "IN":
+                kind, value = arg[0]
+                some = [chr(x) for k, x in arg if str(k) == "LITERAL"] or [chr(value[0]) if str(kind) == "RANGE" else " " if "SPACE" in str(value) else "7" if "DIGIT" in str(value) else "x"]
+            elif name == "ANY":
+                some = ["x"]
+            else:
+                assert name in ("ASSERT", "ASSERT_NOT", "AT"), name
+                some = [""]
+            out = [out[0] + x for x in some] + [x + some[0] for x in out[1:]]
+        return out
+
+    return [x for x in draw(P.parse(pattern)) if re.search(pattern, x)]
+
+
+def test_every_rule_passes_the_gate():
+    for k, rule in enumerate(L.rules()):
+        some = examples(rule.regex.pattern)
+        assert some, rule.name
+        assert not [x for x in some if k not in L.gate(x)], rule.name
+
+
 def test_contained_detections_are_suppressed():
     r = L.scan_text("Licensed under the Apache License, Version 2.0")
     assert [d["rule"] for d in r["detections"]] == ["apache-2.0/grant"]
