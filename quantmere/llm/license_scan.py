@@ -217,10 +217,6 @@ def gate(text: str) -> set[int]:
     return active
 
 
-#: Any rule needs one of these; most texts have none and skip the automaton.
-ROOTS = re.compile(r"licen[cs]|spdx|gpl|copyright|permi|public|free soft|cc|bsd|apache|mit|redistribut|wtfpl|mpl|epl|cddl|eupl|odbl|pddl|openrail|rights reserved|proprietary|confidential|altered source|unencumbered|ofl|psf|ncsa|neither the name|advertising mat|received a copy|you may not use|source code form|isc|zlib|x11")
-
-
 def detect(text: str) -> list[tuple[int, int, Rule]]:
     """Accepted detections (start, end, rule) of a lower-cased text, in text order."""
     active = gate(text)
@@ -259,7 +255,7 @@ def scan_text(text: str | None) -> dict:
     data = to_bytes(text)
     n_words, base = base_places(data.translate(WORD_TABLE))
     low = data.translate(LOWER_TABLE).decode("utf-8", "replace")
-    hits = detect(low) if ROOTS.search(low) else []
+    hits = detect(low)
     base_labels = sorted({x for _, x in base})
     labels = sorted({*base_labels, *(r.label for _, _, r in hits)})
     miss = 1.0

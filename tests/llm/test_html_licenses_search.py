@@ -126,6 +126,9 @@ def test_license_labels(text, labels):
         ("// Redistribution and\n//   use in source and binary forms, with or without\n// modification, are permitted", "bsd"),
         ("* Permission is\n *  hereby granted, free of charge, to any person obtaining a copy", "mit"),
         ("license: ms-pl", "ms-pl"),
+        ("Creative Commons Attribution 4.0 International", "cc-by-4.0"),
+        ("creative commons zero", "cc0-1.0"),
+        ("all rights\n * reserved", "all-rights-reserved"),
         ("license = python-2.0", "psf-2.0"),
     ],
 )
@@ -171,6 +174,8 @@ def test_every_rule_passes_the_gate():
         some = examples(rule.regex.pattern)
         assert some, rule.name
         assert not [x for x in some if k not in L.gate(x)], rule.name
+        assert any(L.detect(x) for x in some), rule.name
+        assert all(L.scan_text(x)["detections"] for x in some), rule.name
 
 
 def test_contained_detections_are_suppressed():
