@@ -14,6 +14,7 @@ document offsets, then for every level its packed chunks, bitmap and ranks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, get_file, keep_cache, put_file, saved, shared_path
+from .common import claim, get_file, keep_cache, put_file, saved, shared_path, slices
 
 MAGIC = b"QMDAC1"
 BLOCK = 512  # bits of a rank block
@@ -155,106 +156,160 @@ class TokenFile:
         return out
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, Encoder] = {}
 keep_cache("tokens", _TOKENIZERS.clear)
-CACHE_PIECES = 300_000
-TRAILING = ".,;:!?)|*%$#&"
+CACHE_PIECES = 800_000  # of one generation
+CACHE_BYTES = 32 << 20
+CALL_CHARS = 1 << 16
 
 
-def _pieces(text: str) -> list[str]:
-    """Cut before each blank that a non-blank follows.
+BLANKS_MEET = re.compile(r" (?:\s|\Z)")
+
+
+def _pieces(text: str) -> tuple[str, list[str]]:
+    """Cut at each blank that a non-blank follows: what stands before the first cut, then what follows the blanks.
 
     Byte-level pre-tokenization binds such a blank to the word after it, so the
     pieces can be encoded apart.  Where two blanks meet the text isn't cut.
     """
     first, *rest = text.split(" ")
+    if BLANKS_MEET.search(text) is None:
+        return first, rest
     out = [first]
     for piece in rest:
         if piece and not piece[0].isspace():
-            out.append(" " + piece)
+            out.append(piece)
         else:
             out[-1] += " " + piece
-    return out
+    return out[0], out[1:]
+
 
+def _parts(text: str, size: int = CALL_CHARS) -> Iterator[str]:
+    """A long text in parts that begin with a blank between non-blanks, where ``_pieces`` cuts too."""
+    at = 0
+    while len(text) - at > 2 * size:
+        to = text.find(" ", at + size)
+        while 0 < to < len(text) - 1 and (text[to - 1].isspace() or text[to + 1].isspace()):
+            to = text.find(" ", to + 1)
+        if not 0 < to < len(text) - 1:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
-#: Letters that every version of Unicode counts as such: with a blank before them at most, they are one pre-token.
-PLAIN_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
+#: Letters that every version of Unicode counts as such: with the blank before them, they are one pre-token.
+PLAIN_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
-def _byte_alphabet() -> dict[int, str]:
+
+def _byte_alphabet() -> np.ndarray:
     """Byte-level alphabet: printable bytes are themselves, the others follow from code point 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    out = np.arange(256, dtype="<u4")
+    out[rest] = 256 + np.arange(len(rest))
+    return out
 
 
 BYTE_LEVEL = _byte_alphabet()
 
 
-def _encode_unseen(tok, bare, pieces: list[str]) -> dict[str, bytes]:
-    """Ids of pieces: plain words by the model alone, anything else by the whole tokenizer."""
-    out = {}
-    plain = [p for p in pieces if PLAIN_WORD.fullmatch(p)]
-    other = list(set(pieces).difference(plain))
-    for tool, some, texts in ((bare, plain, [p.encode().decode("latin-1").translate(BYTE_LEVEL) for p in plain]), (tok, other, other)):
-        for k in range(0, len(some), 4096):
-            for piece, e in zip(some[k : k + 4096], tool.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False), strict=True):
-                out[piece] = np.array(e.ids, "<u4").tobytes()
-    return out
-
+class Encoder:
+    """A tokenizer with the ids of the pieces it met.
 
-def _finer(piece: str) -> list[str]:
-    """A piece cut around single line feeds and before closing punctuation.
-
-    Both are always borders of pre-tokens: no pre-token runs from a letter or
-    digit into punctuation, and a lone line feed between non-blanks stands alone.
+    Pieces are kept in two generations: when the young one is full it becomes the
+    old one, and a piece of the old one that is met again is young again, so
+    frequent pieces are never lost.  Pieces met for the first time are encoded
+    in one call, end to end, and the ids dealt to them by the tokens' lengths:
+    plain words by the model alone, others by the whole tokenizer.
     """
-    lines = piece.split("\n")
-    if not all(x and not x[-1].isspace() and (k == 0 or not x[0].isspace()) for k, x in enumerate(lines)):
-        lines = [piece]
-    out = []
-    for k, line in enumerate(lines):
-        if k:
-            out.append("\n")
-        word = line.rstrip(TRAILING)
-        if word and word != line and word[-1].isalnum():
-            out += [word, line[len(word) :]]
-        else:
-            out.append(line)
-    return out
-
-
-def load_tokenizer(path: str) -> tuple:
-    """(tokenizer, its model alone, ids of pieces, ids of finer pieces, whether pieces may be encoded apart)."""
-    if path not in _TOKENIZERS:
-        import json
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as src:
             spec = json.load(src)
         pre = spec.get("pre_tokenizer") or {}
-        apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
-        tok = Tokenizer.from_file(path)
-        _TOKENIZERS[path] = (tok, Tokenizer(tok.model), {}, {}, apart)
+        added = spec.get("added_tokens", [])
+        #: Whether pieces may be encoded apart.
+        self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.apart = self.apart and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in added)
+        self.whole = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # letters of the young pieces
+        if self.apart:
+            vocab = self.whole.get_vocab(with_added_tokens=True)
+            self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
+            for token, k in vocab.items():
+                self.lengths[k] = len(token)
+            for t in added:
+                self.lengths[t["id"]] = len(t["content"].encode())
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> bool:
+        """Deal ids to the pieces, which have so many bytes; False if a token lies across two of them."""
+        reach, ends = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
+        cuts = np.searchsorted(reach, ends)
+        if cuts[-1] >= len(reach) or (reach[cuts] != ends).any():
+            return False
+        data, at = ids.tobytes(), 0
+        for piece, to in zip(pieces, ((cuts + 1) * 4).tolist(), strict=True):
+            self.young[piece] = data[at:to]
+            at = to
+        return True
+
+    def meet(self, pieces: set[str]) -> None:
+        """Have all of these pieces, a blank before each, among the young ones."""
+        if len(self.young) > CACHE_PIECES or self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        lacking = pieces.difference(self.young)
+        self.held += sum(map(len, lacking))
+        again = [p for p in lacking if p in self.old]
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        fresh = list(lacking.difference(again))
+        plain = [p for p in fresh if PLAIN_WORD.fullmatch(p)]
+        if plain:
+            data = np.frombuffer("\n ".join(["", *plain, ""]).encode()[1:-1], np.uint8)
+            ends = np.flatnonzero(data == 10)
+            letters = BYTE_LEVEL[data]
+            letters[ends] = 10
+            ids = self.words.encode_batch_fast([letters.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids
+            self.learn(plain, np.diff(ends, prepend=-1) - 1, np.array(ids, "<u4"))
+        rest = [p for p in fresh if p not in self.young]
+        if rest and not self.learn(rest, np.array([len(p.encode()) + 1 for p in rest]), self.ids([" " + " ".join(rest)])[0]):
+            self.young.update(zip(rest, [x.tobytes() for x in self.ids([" " + p for p in rest])], strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text as little-endian uint32, as the tokenizer gives them."""
+        if not self.apart:
+            return [x.tobytes() for x in self.ids(texts)]
+        parts = [(k, part) for k, text in enumerate(texts) for part in _parts(text)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for a, b in slices([len(part) for _, part in parts], CALL_CHARS):
+            cut = [_pieces(part) for _, part in parts[a:b]]
+            self.meet(set().union(*[rest for _, rest in cut]))
+            get = self.young.__getitem__
+            for (k, _), start, (_, rest) in zip(parts[a:b], self.ids([first for first, _ in cut]), cut, strict=True):
+                out[k] += [start.tobytes(), b"".join(map(get, rest))]
+        return [b"".join(x) for x in out]
+
+
+def load_tokenizer(path: str) -> Encoder:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Encoder(path)
     return _TOKENIZERS[path]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text as little-endian uint32, as the tokenizer gives them."""
-    tok, bare, cache, finer, apart = load_tokenizer(path)
-    if not apart:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    cut = [_pieces(t) for t in texts]
-    for known in (cache, finer):
-        if len(known) > CACHE_PIECES:
-            known.clear()
-    new = {p: _finer(p) for p in {p for pieces in cut for p in pieces}.difference(cache)}
-    finer.update(_encode_unseen(tok, bare, list({x for parts in new.values() for x in parts}.difference(finer))))
-    for piece, parts in new.items():
-        cache[piece] = b"".join([finer[x] for x in parts])
-    return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+    return load_tokenizer(path).encode(texts)
 
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, bytes long"
@@ -297,8 +352,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, out_dir: str |
         for batch in batches:
             batch_ids = batch["__id"].tolist()
             texts = batch["__text"].tolist()
-            for k in range(0, len(texts), 64):
-                for doc_id, ids in zip(batch_ids[k : k + 64], encode_texts(texts[k : k + 64], tokenizer), strict=True):
+            for a, b in slices([len(t) for t in texts], CALL_CHARS):
+                for doc_id, ids in zip(batch_ids[a:b], encode_texts(texts[a:b], tokenizer), strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     held.append(ids + end)
                     size += len(ids) // 4 + 1

@@ -39,13 +39,24 @@ TEXTS = ["", " ", "a  b", "x\n y", "don't stop", "a\n\nb c", "tab\t x", "naïve
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(alphabet=list("ab Zé.,'!\n\t 1日 \x1c|<>") + ["endoftext"], max_size=40))
+@given(st.lists(st.sampled_from([*"ab Zé.,'!\n\t 1日 \x1c|<>", "endoftext", "<|endoftext|>", " the", "  "]), max_size=40).map("".join))
 def test_pieces_encode_like_the_whole(text):
     _check([text])
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab é.\n日 ", " word", " x,", "  "]), max_size=60).map("".join), max_size=6))
+def test_long_texts_and_full_caches(texts):
+    old = T.CALL_CHARS, T.CACHE_PIECES, T._parts.__defaults__
+    T.CALL_CHARS, T.CACHE_PIECES, T._parts.__defaults__ = 8, 5, (8,)
+    try:
+        _check([*texts, "".join(texts)])
+    finally:
+        T.CALL_CHARS, T.CACHE_PIECES, T._parts.__defaults__ = old
+
+
 def _check(texts):
-    tok, *_ = T.load_tokenizer(tokenizer_path())
+    tok = T.load_tokenizer(tokenizer_path()).whole
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(b, "<u4").tolist() for b in T.encode_texts(texts, tokenizer_path())] == want
 
@@ -59,7 +70,7 @@ def test_table(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, path string")
     out = T.token_table(docs, tokenizer_path(), end_id=2, file_tokens=50).orderBy("start").collect()
     assert [r.doc_id for r in out] == [None, 3, 5, 7, 7]
-    tok, *_ = T.load_tokenizer(tokenizer_path())
+    tok = T.load_tokenizer(tokenizer_path()).whole
     at = 0
     for r, text in zip(out, ["x", "", "word " * 3000, "hello world", "hello world"], strict=True):
         ids = tok.encode(text, add_special_tokens=False).ids + [2]
