@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,15 +31,19 @@ from .common import claim, get_file, keep_cache, put_file, saved, shared_path, s
 MAGIC = b"QMDAC1"
 BLOCK = 512  # bits of a rank block
 MAX_WIDTH = 16
+RUN = 1 << 16  # values packed at a time, a multiple of 64
 
 
 def chunk_widths(ids: np.ndarray) -> list[int]:
     """Widths with the least total bits: chunks plus one continuation bit each."""
-    lengths = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(np.int64)) if len(ids) else np.array([1])
-    count = np.bincount(lengths, minlength=33)
-    longer = [int(count[b + 1 :].sum()) for b in range(33)]  # ids of more than b bits
+    peak = int(ids.max(initial=0))
+    top = max(1, peak.bit_length())
+    if peak < 1 << 20:
+        upto = np.cumsum(np.bincount(ids, minlength=1))
+        longer = [len(ids) - int(upto[min((1 << b) - 1, peak)]) for b in range(33)]  # ids of more than b bits
+    else:
+        longer = [int(np.count_nonzero(ids >> np.uint32(b))) for b in range(32)] + [0]
     longer[0] = len(ids)
-    top = int(lengths.max())
     best: list[tuple[int, list[int]]] = [(0, [])]
     for b in range(1, top + 1):
         options = []
@@ -52,20 +55,43 @@ def chunk_widths(ids: np.ndarray) -> list[int]:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    parts = []
-    step = 1 << 17  # a multiple of 8, so blocks end on bytes
-    shifts = np.arange(width, dtype=np.uint32)
-    for k in range(0, len(values), step):
-        bits = (values[k : k + step, None] >> shifts) & np.uint32(1)
-        parts.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes())
-    return b"".join(parts) + b"\0" * 4
-
-
-def unpack(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    bit = at.astype(np.int64) * width
-    byte = bit >> 3
-    word = packed[byte].astype(np.uint32) | packed[byte + 1].astype(np.uint32) << 8 | packed[byte + 2].astype(np.uint32) << 16
-    return (word >> (bit & 7).astype(np.uint32)) & np.uint32((1 << width) - 1)
+    """Values of ``width`` bits one after another: 64 of them fill ``width`` words of 64 bits."""
+    out = []
+    for a in range(0, len(values), RUN):
+        some = values[a : a + RUN].astype(np.uint64)
+        v = np.pad(some, (0, -len(some) % 64)).reshape(-1, 64).T
+        words = np.zeros((width, v.shape[1]), np.uint64)
+        for k in range(64):
+            word, shift = k * width >> 6, k * width & 63
+            words[word] |= v[k] << np.uint64(shift)
+            if shift + width > 64:
+                words[word + 1] |= v[k] >> np.uint64(64 - shift)
+        out.append(np.ascontiguousarray(words.T).astype("<u8").tobytes())
+    return b"".join(out) + bytes(8)
+
+
+def unpack(packed: np.ndarray, width: int, start: int, stop: int) -> np.ndarray:
+    """Values start..stop-1."""
+    out = [np.zeros(0, np.uint32)]
+    first = start // 64 * 64
+    for a in range(first, stop, RUN):
+        groups = -(-(min(stop, a + RUN) - a) // 64)
+        words = packed[a // 8 * width :][: groups * width * 8].view("<u8").reshape(groups, width).T
+        v = np.empty((groups, 64), np.uint32)
+        mask = np.uint64((1 << width) - 1)
+        for k in range(64):
+            word, shift = k * width >> 6, k * width & 63
+            x = words[word] >> np.uint64(shift)
+            if shift + width > 64:
+                x |= words[word + 1] << np.uint64(64 - shift)
+            v[:, k] = x & mask
+        out.append(v.ravel())
+    return np.concatenate(out)[start - first : stop - first]
+
+
+def unpack_one(packed: np.ndarray, width: int, i: int) -> int:
+    bit = i * width
+    return int.from_bytes(packed[bit >> 3 : (bit + width + 7 >> 3)].tobytes(), "little") >> (bit & 7) & (1 << width) - 1
 
 
 def encode_file(doc_ids: list, offsets: np.ndarray, ids: np.ndarray) -> bytes:
@@ -125,7 +151,7 @@ class TokenFile:
             raise IndexError(i)
         value = shift = 0
         for width, (chunks, bitmap, rank) in zip(self.widths, self.levels, strict=True):
-            value |= int(unpack(chunks, width, np.array([i]))[0]) << shift
+            value |= unpack_one(chunks, width, i) << shift
             shift += width
             if not len(bitmap) or not bitmap[i >> 3] >> (i & 7) & 1:
                 break
@@ -136,56 +162,39 @@ class TokenFile:
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Tokens start..stop-1, all levels at once."""
-        n = stop - start
-        out = np.zeros(n, np.uint32)
-        place, at, shift = np.arange(n), np.arange(start, stop), 0
+        out = np.zeros(stop - start, np.uint32)
+        place, shift = np.arange(stop - start), 0
         for width, (chunks, bitmap, rank) in zip(self.widths, self.levels, strict=True):
-            if not len(at):
+            if start >= stop:
                 break
-            out[place] |= unpack(chunks, width, at) << np.uint32(shift)
+            out[place] |= unpack(chunks, width, start, stop) << np.uint32(shift)
             shift += width
             if not len(bitmap):
                 break
-            lo, hi = int(at[0]) // BLOCK, int(at[-1]) // BLOCK + 1
+            lo, hi = start // BLOCK, (stop - 1) // BLOCK + 1
             bits = np.unpackbits(bitmap[lo * BLOCK // 8 : hi * BLOCK // 8], bitorder="little")
-            more = bits[at - lo * BLOCK].astype(bool)
+            more = bits[start - lo * BLOCK : stop - lo * BLOCK].astype(bool)
             # those that go on are consecutive one level down
-            first = int(rank[lo]) + int(bits[: int(at[0]) - lo * BLOCK].sum())
             place = place[more]
-            at = first + np.arange(len(place))
+            start = int(rank[lo]) + int(bits[: start - lo * BLOCK].sum())
+            stop = start + len(place)
         return out
 
 
 _TOKENIZERS: dict[str, Encoder] = {}
 keep_cache("tokens", _TOKENIZERS.clear)
-CACHE_PIECES = 800_000  # of one generation
-CACHE_BYTES = 32 << 20
-CALL_CHARS = 1 << 16
-
+CALL_BYTES = 1 << 19  # of texts encoded together
+KNOWN = 1 << 19  # pieces whose ids are kept
+LONGEST = 64  # bytes of a piece whose ids are kept
+BASE = 0x9E3779B97F4A7C15  # of the polynomial hash; odd, so that it has an inverse
 
-BLANKS_MEET = re.compile(r" (?:\s|\Z)")
+#: First bytes of UTF-8 characters that are no white space; where another follows a blank, the text isn't cut.
+SAFE = np.zeros(256, bool)
+SAFE[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 
 
-def _pieces(text: str) -> tuple[str, list[str]]:
-    """Cut at each blank that a non-blank follows: what stands before the first cut, then what follows the blanks.
-
-    Byte-level pre-tokenization binds such a blank to the word after it, so the
-    pieces can be encoded apart.  Where two blanks meet the text isn't cut.
-    """
-    first, *rest = text.split(" ")
-    if BLANKS_MEET.search(text) is None:
-        return first, rest
-    out = [first]
-    for piece in rest:
-        if piece and not piece[0].isspace():
-            out.append(piece)
-        else:
-            out[-1] += " " + piece
-    return out[0], out[1:]
-
-
-def _parts(text: str, size: int = CALL_CHARS) -> Iterator[str]:
-    """A long text in parts that begin with a blank between non-blanks, where ``_pieces`` cuts too."""
+def _parts(text: str, size: int = CALL_BYTES) -> Iterator[str]:
+    """A long text in parts that begin with a blank between non-blanks, where pieces begin too."""
     at = 0
     while len(text) - at > 2 * size:
         to = text.find(" ", at + size)
@@ -198,10 +207,6 @@ def _parts(text: str, size: int = CALL_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-#: Letters that every version of Unicode counts as such: with the blank before them, they are one pre-token.
-PLAIN_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-
-
 def _byte_alphabet() -> np.ndarray:
     """Byte-level alphabet: printable bytes are themselves, the others follow from code point 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -213,15 +218,119 @@ def _byte_alphabet() -> np.ndarray:
 
 BYTE_LEVEL = _byte_alphabet()
 
+#: Kinds of bytes: letters that every version of Unicode counts as such (U+00C0 to U+024F as two bytes),
+#: closing punctuation, line feed, blank, and all others.
+LETTER, CLOSING, FEED, BLANK, OTHER = range(5)
+KIND = np.full(256, OTHER, np.int8)
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = LETTER
+KIND[list(b".,;:!?")] = CLOSING
+KIND[10], KIND[32] = FEED, BLANK
+#: KIND pairs that may follow one another in a piece of words, closing punctuation and single line feeds.
+FOLLOWS = np.zeros((5, 5), bool)
+for _a, _b in ((LETTER, LETTER), (LETTER, CLOSING), (LETTER, FEED), (CLOSING, CLOSING), (CLOSING, FEED), (FEED, LETTER), (BLANK, LETTER)):
+    FOLLOWS[_a, _b] = True
+
+
+def simple_pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, str]:
+    """Which of the pieces are words, closing punctuation and single line feeds, and their pre-tokens in byte-level letters, tabs between.
+
+    In such a piece the pre-tokens are the words with the blank before them, the runs of punctuation and the line feeds.
+    """
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(len(own))
+    byte = data[at]
+    kind = KIND[byte]
+    first = np.append(True, own[1:] != own[:-1])
+    last = np.append(first[1:], True)
+    before, after = np.append(np.uint8(0), byte[:-1]), np.append(byte[1:], np.uint8(0))
+    bad = (kind == OTHER) | (first & (kind != LETTER) & (kind != BLANK)) | (last & ((kind == FEED) | (kind == BLANK)))
+    bad[1:] |= ~first[1:] & ~FOLLOWS[kind[:-1], kind[1:]]
+    # signs of multiplication and division, and U+0250 to U+027F
+    bad |= (before == 0xC3) & ((byte == 0x97) | (byte == 0xB7)) | (byte == 0xC9) & (after >= 0x90)
+    good = np.ones(len(sizes), bool)
+    good[own[bad]] = False
+    keep = good[own]
+    kind, byte, first = kind[keep], byte[keep], first[keep]
+    border = first.copy()
+    border[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK)
+    out = np.full(len(byte) + int(border.sum()), 9, "<u4")
+    out[np.arange(len(byte)) + np.cumsum(border)] = BYTE_LEVEL[byte]
+    return good, out.tobytes().decode("utf-32-le")
+
+
+class PieceTable:
+    """Ids of pieces by the pieces' 64-bit hashes, looked up for whole batches at once.
+
+    Open addressing at a load of one half at most.  When the table is full the
+    pieces that were met again since they came stay, half of it at most.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.mask = most, np.uint64(4 * most - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(4 * self.most, np.uint64)
+        self.start = np.zeros(4 * self.most, np.int64)
+        self.count = np.zeros(4 * self.most, np.int64)
+        self.again = np.zeros(4 * self.most, bool)
+        self.n = self.used = 0
+        self.flat = np.zeros(4 * self.most, np.uint32)  # ids, piece by piece
+
+    def append(self, ids: np.ndarray) -> int:
+        """Put ids behind the others; where they begin."""
+        at = self.used
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[at : at + len(ids)] = ids
+        self.used = at + len(ids)
+        return at
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the keys, -1 where they aren't there."""
+        slot = (keys & self.mask).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == keys, slot, -1)
+        open_ = np.flatnonzero((held != keys) & (held != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(self.mask)
+            held, want = self.keys[slot[open_]], keys[open_]
+            out[open_] = np.where(held == want, slot[open_], -1)
+            open_ = open_[(held != want) & (held != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Add distinct keys that aren't there."""
+        slot = (keys & self.mask).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            at, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[at], self.start[at], self.count[at], self.again[at] = keys[won], start[won], count[won], False
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            open_ = open_[left[open_]]
+            slot[open_] = (slot[open_] + 1) & int(self.mask)
+        self.n += len(keys)
+
+    def shrink(self) -> None:
+        stay = np.flatnonzero(self.again & (self.keys != 0))[: self.most // 2]
+        keys, start, count, flat = self.keys[stay], self.start[stay], self.count[stay], self.flat
+        self.clear()
+        at = self.append(flat[np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())])
+        self.put(keys, at + np.cumsum(count) - count, count)
+
 
 class Encoder:
     """A tokenizer with the ids of the pieces it met.
 
-    Pieces are kept in two generations: when the young one is full it becomes the
-    old one, and a piece of the old one that is met again is young again, so
-    frequent pieces are never lost.  Pieces met for the first time are encoded
-    in one call, end to end, and the ids dealt to them by the tokens' lengths:
-    plain words by the model alone, others by the whole tokenizer.
+    Byte-level pre-tokenization binds a blank to the word behind it, so a text may
+    be cut before each blank that a non-blank follows and its pieces be encoded
+    apart.  Pieces are known by a 64-bit hash.  Those that the table lacks are
+    encoded in one call, end to end, and the ids dealt to them by the tokens'
+    lengths: words and punctuation by the model alone, others by the whole
+    tokenizer.  Pieces above ``LONGEST`` bytes are encoded each time.
     """
 
     def __init__(self, path: str) -> None:
@@ -239,9 +348,6 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = WhitespaceSplit()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0  # letters of the young pieces
         if self.apart:
             vocab = self.whole.get_vocab(with_added_tokens=True)
             self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
@@ -249,55 +355,102 @@ class Encoder:
                 self.lengths[k] = len(token)
             for t in added:
                 self.lengths[t["id"]] = len(t["content"].encode())
+            self.known = PieceTable(KNOWN)
+            self.power = self.inverse = np.ones(1, np.uint64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> bool:
-        """Deal ids to the pieces, which have so many bytes; False if a token lies across two of them."""
+        return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Polynomial hash of each piece, from sums over the whole batch; never 0."""
+        if len(self.power) <= len(data):
+            n = 2 * len(data) + 2
+            self.power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)])])
+            h = (sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.maximum(h ^ (h >> np.uint64(31)), np.uint64(1))
+
+    def deal(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray | None:
+        """How many ids each piece has, from its bytes; None if a token lies across two of them."""
         reach, ends = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
         cuts = np.searchsorted(reach, ends)
-        if cuts[-1] >= len(reach) or (reach[cuts] != ends).any():
-            return False
-        data, at = ids.tobytes(), 0
-        for piece, to in zip(pieces, ((cuts + 1) * 4).tolist(), strict=True):
-            self.young[piece] = data[at:to]
-            at = to
-        return True
-
-    def meet(self, pieces: set[str]) -> None:
-        """Have all of these pieces, a blank before each, among the young ones."""
-        if len(self.young) > CACHE_PIECES or self.held > CACHE_BYTES:
-            self.young, self.old, self.held = {}, self.young, 0
-        lacking = pieces.difference(self.young)
-        self.held += sum(map(len, lacking))
-        again = [p for p in lacking if p in self.old]
-        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        fresh = list(lacking.difference(again))
-        plain = [p for p in fresh if PLAIN_WORD.fullmatch(p)]
-        if plain:
-            data = np.frombuffer("\n ".join(["", *plain, ""]).encode()[1:-1], np.uint8)
-            ends = np.flatnonzero(data == 10)
-            letters = BYTE_LEVEL[data]
-            letters[ends] = 10
-            ids = self.words.encode_batch_fast([letters.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids
-            self.learn(plain, np.diff(ends, prepend=-1) - 1, np.array(ids, "<u4"))
-        rest = [p for p in fresh if p not in self.young]
-        if rest and not self.learn(rest, np.array([len(p.encode()) + 1 for p in rest]), self.ids([" " + " ".join(rest)])[0]):
-            self.young.update(zip(rest, [x.tobytes() for x in self.ids([" " + p for p in rest])], strict=True))
+        if not len(reach) or cuts[-1] >= len(reach) or (reach[cuts] != ends).any():
+            return None
+        return np.diff(cuts + 1, prepend=0)
+
+    def learn(self, buf: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces: where their ids begin in the table's, and how many each has."""
+        start, count = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+
+        def take(some: np.ndarray, ids: np.ndarray) -> None:
+            each = self.deal(sizes[some], ids)
+            if each is not None:
+                count[some], start[some] = each, self.known.append(ids) + np.cumsum(each) - each
+
+        def texts(some: np.ndarray) -> list[str]:
+            return [buf[a : a + n].decode() for a, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
+
+        simple, letters = simple_pieces(data, starts, sizes)
+        if simple.any():
+            take(np.flatnonzero(simple), np.array(self.words.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.uint32))
+        bound = np.flatnonzero((count < 0) & (sizes > 1) & (data[starts] == 32))
+        bound = bound[SAFE[data[starts[bound] + 1]]]
+        if len(bound):
+            take(bound, self.ids(["".join(texts(bound))])[0])
+        rest = np.flatnonzero(count < 0)
+        for k, ids in zip(rest.tolist(), self.ids(texts(rest)), strict=True):
+            start[k], count[k] = self.known.append(ids), len(ids)
+        return start, count
+
+    def batch(self, parts: list[bytes]) -> list[np.ndarray]:
+        known = self.known
+        if known.n > known.most:
+            known.shrink()
+        size = np.array([len(p) for p in parts])
+        to = np.cumsum(size)
+        buf = b"".join(parts)
+        if not buf:
+            return [np.zeros(0, np.uint32) for _ in parts]
+        data = np.frombuffer(buf, np.uint8)
+        begins = np.zeros(len(data), bool)
+        begins[:-1] = (data[:-1] == 32) & SAFE[data[1:]]
+        begins[(to - size)[size > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        keys = self.hashes(data, starts, ends)
+        slot = known.find(keys)
+        known.again[slot[slot >= 0]] = True
+        start, count = known.start[slot], known.count[slot]
+        lacking = np.flatnonzero(slot < 0)
+        if len(lacking):
+            # longer pieces are told apart by place, not by hash
+            own = keys[lacking]
+            long = ends[lacking] - starts[lacking] > LONGEST
+            _, first, which = np.unique(np.where(long, lacking.astype(np.uint64), own | np.uint64(1 << 63)), return_index=True, return_inverse=True)
+            at = lacking[first]
+            s, c = self.learn(buf, data, starts[at], ends[at] - starts[at])
+            start[lacking], count[lacking] = s[which], c[which]
+            keep = ~long[first]
+            new, where = np.unique(keys[at[keep]], return_index=True)
+            known.put(new, s[keep][where], c[keep][where])
+        total = np.cumsum(count)
+        ids = known.flat[np.repeat(start - total + count, count) + np.arange(total[-1])]
+        total = np.concatenate([[0], total])
+        borders = total[np.searchsorted(starts, np.concatenate([[0], to]))]
+        return [ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian uint32, as the tokenizer gives them."""
         if not self.apart:
-            return [x.tobytes() for x in self.ids(texts)]
-        parts = [(k, part) for k, text in enumerate(texts) for part in _parts(text)]
+            return [x.astype("<u4").tobytes() for x in self.ids(texts)]
+        parts = [(k, part.encode()) for k, text in enumerate(texts) for part in _parts(text)]
         out: list[list[bytes]] = [[] for _ in texts]
-        for a, b in slices([len(part) for _, part in parts], CALL_CHARS):
-            cut = [_pieces(part) for _, part in parts[a:b]]
-            self.meet(set().union(*[rest for _, rest in cut]))
-            get = self.young.__getitem__
-            for (k, _), start, (_, rest) in zip(parts[a:b], self.ids([first for first, _ in cut]), cut, strict=True):
-                out[k] += [start.tobytes(), b"".join(map(get, rest))]
+        for a, b in slices([len(part) for _, part in parts], CALL_BYTES):
+            for (k, _), ids in zip(parts[a:b], self.batch([part for _, part in parts[a:b]]), strict=True):
+                out[k].append(ids.astype("<u4").tobytes())
         return [b"".join(x) for x in out]
 
 
@@ -352,7 +505,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, out_dir: str |
         for batch in batches:
             batch_ids = batch["__id"].tolist()
             texts = batch["__text"].tolist()
-            for a, b in slices([len(t) for t in texts], CALL_CHARS):
+            for a, b in slices([len(t) for t in texts], CALL_BYTES):
                 for doc_id, ids in zip(batch_ids[a:b], encode_texts(texts[a:b], tokenizer), strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     held.append(ids + end)

@@ -28,6 +28,21 @@ def test_round_trip_and_random_access(ids):
         f[len(ids)]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 16), st.lists(st.integers(0, 65535), max_size=400), st.data())
+def test_packing(width, values, data):
+    arr = np.array(values, np.uint32) & np.uint32((1 << width) - 1)
+    old, T.RUN = T.RUN, 128
+    try:
+        packed = np.frombuffer(T.pack(arr, width), np.uint8)
+        start = data.draw(st.integers(0, len(arr)))
+        stop = data.draw(st.integers(start, len(arr)))
+        assert T.unpack(packed, width, start, stop).tolist() == arr[start:stop].tolist()
+        assert [T.unpack_one(packed, width, i) for i in range(start, stop)] == arr[start:stop].tolist()
+    finally:
+        T.RUN = old
+
+
 def test_widths_are_best_of_all():
     ids = np.array([1] * 90 + [40000] * 10, np.uint32)
     w = T.chunk_widths(ids)
@@ -47,12 +62,15 @@ def test_pieces_encode_like_the_whole(text):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*"ab é.\n日 ", " word", " x,", "  "]), max_size=60).map("".join), max_size=6))
 def test_long_texts_and_full_caches(texts):
-    old = T.CALL_CHARS, T.CACHE_PIECES, T._parts.__defaults__
-    T.CALL_CHARS, T.CACHE_PIECES, T._parts.__defaults__ = 8, 5, (8,)
+    old = T.CALL_BYTES, T.KNOWN, T._parts.__defaults__
+    T.CALL_BYTES, T.KNOWN, T._parts.__defaults__ = 20, 4, (8,)
+    T._TOKENIZERS.clear()
     try:
         _check([*texts, "".join(texts)])
+        _check(texts[::-1])
     finally:
-        T.CALL_CHARS, T.CACHE_PIECES, T._parts.__defaults__ = old
+        T.CALL_BYTES, T.KNOWN, T._parts.__defaults__ = old
+        T._TOKENIZERS.clear()
 
 
 def _check(texts):
