@@ -91,6 +91,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of intermediate tables that goes when what was made of them is written."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, shared_path(spark, name)
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows, written to the folder and read again: cuts the lineage."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        fs, path = pafs.FileSystem.from_uri(self.path)
+        if fs.get_file_info(path).type != pafs.FileType.NotFound:
+            fs.delete_dir(path)
+
+
 def put_file(uri: str, data: bytes) -> None:
     """Write under a name of this attempt, then move: readers never see half a file."""
     fs, path = pafs.FileSystem.from_uri(uri)

@@ -100,22 +100,38 @@ def test_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(2, "a b c d e f")], "doc_id long, text string")
     assert {(r.class_id, r.class_size) for r in N.near_duplicates(docs).collect()} == {(1, 4)}
     assert [r.doc_id for r in N.keep_one(docs).collect()] == [1]
-    assert N.near_duplicates(docs.limit(0)).count() == 0
+    assert N.near_duplicates(docs.limit(0)).count() == 0 and N.keep_one(docs.limit(0)).count() == 0
+
+
+def test_other_ids_and_clashing_columns(spark, tmp_path):
+    names = "doc_id string, text string, key int, sig int, node int, file int, row int, label int, _metadata int"
+    rows = [("x1", "one two three four five six"), ("x0", "One two, three four five six!"), (None, "other words"), ("y", None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7) for r in rows], names)
+    docs.write.parquet(f"{tmp_path}/docs")
+    for d in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in N.near_duplicates(d).collect()) == [("None", "None", 1), ("x0", "x0", 2), ("x1", "x0", 2), ("y", "y", 1)]
+        kept = N.keep_one(d)
+        assert kept.schema.names == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["None", "x0", "y"]
 
 
 def test_blocks_split_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
-    texts = [b" ".join(b"w%d" % (k * 100 + x) for x in range(30)) for k in range(12)]
-    texts[7], texts[11] = texts[2] + b" end", texts[0] + b" end"
-    doc, h, w = N.weighted_shingles([t.split() for t in texts])
-    sigs = (N.prob_minhash(doc, h, w, 12, 20) >> np.uint64(32)).astype("<u4")
+    texts = [" ".join(f"w{k * 100 + x}" for x in range(30)) for k in range(18)]
+    texts[7], texts[11], texts[12], texts[17] = texts[2] + " end", texts[0] + " end", "start " + texts[5], texts[13] + " end"
+    doc, h, w = N.weighted_shingles([N.words_of(t) for t in texts])
+    sigs = (N.prob_minhash(doc, h, w, 18, 20) >> np.uint64(48)).astype("<u2")
     sigs[:, :5] = 1  # all share the first band
-    keys = [bytearray([k]) for k in range(12)]
-    members = spark.createDataFrame([(1, 0, k, k) for k in keys], "bucket long, band int, key binary, label binary")
-    sketches = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in zip(keys, sigs, strict=True)], "key binary, sig binary")
-    words = spark.createDataFrame([(k, bytearray(t)) for k, t in zip(keys, texts, strict=True)], "key binary, words binary")
-    out = N.compare_blocks(members, sketches, words, similar=0.8, least=0.5, rows=5, size=5)
-    assert {(bytes(r.a)[0], bytes(r.b)[0]) for r in out.collect()} == {(2, 7), (0, 11)}
+    label = [100 if k >= 12 else k for k in range(18)]  # the last six are one class already
+    members = spark.createDataFrame([(64, k, label[k]) for k in range(18)], "bucket long, node long, label long")
+    nodes = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sigs)], "node long, sig binary")
+    known = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    dealt = N.block_pairs(members)
+    met = {tuple(sorted((a.node, b.node))) for _, g in dealt.toPandas().groupby(["bucket", "i", "j"]) for a in g.itertuples() for b in g.itertuples() if a.own == a.i and b.own == a.j and a.node != b.node}
+    assert met >= {(a, b) for b in range(18) for a in range(b) if label[a] != label[b]}
+    assert not any(a >= 12 for a, _ in met)  # the main class isn't compared with itself
+    near = N.near_members(dealt.join(nodes, "node"), 0.5, 5)
+    out = N.compare_blocks(near, known, similar=0.8, least=0.5, rows=5, size=5)
+    assert {(r.a, r.b) for r in out.collect()} == {(2, 7), (0, 11), (5, 12)}
 
 
 def test_components(spark):
