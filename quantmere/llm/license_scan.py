@@ -13,9 +13,10 @@ sentence by sentence.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -105,7 +106,7 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 #: kind: (priority, confidence, template of the name pattern)
 TEMPLATES = {
     "tag": (100, 0.99, r"spdx[\s-]licen[cs]e[\s-]identifier\s*:\s*\(?(?:[\w.+-]+\s+(?:or|and|with)\s+)*(?:{spdx})(?![\w.+-])"),
-    "grant": (80, 0.95, rf"(?:licen[cs]ed|released|distributed|redistributed|available|published|provided|covered|governed|offered)(?:{GAP}\w{{1,12}}){{0,3}}?{GAP}(?:under|by){GAP}(?:(?:the|an?|terms|of|and|conditions|free){GAP}){{0,7}}(?:{{name}})"),
+    "grant": (80, 0.95, rf"(?:licen[cs]ed|released|distributed|redistributed|available|published|provided|covered|governed|offered)(?:{GAP}[^\W_]{{1,12}}){{0,3}}?{GAP}(?:under|by){GAP}(?:(?:the|an?|terms|of|and|conditions|free){GAP}){{0,7}}(?:{{name}})"),
     "header": (60, 0.9, rf"licen[cs]e\s*[:=]\s*[\"'(]*(?:the\s+)?(?:{{name}}|{{spdx}})(?![\w+-])"),
     "name": (40, 0.7, r"(?<![\w-])(?:{name})(?![\w-])"),
 }
@@ -134,12 +135,91 @@ NOTICES = [
     ("public-domain", "public domain", r"(?:placed|released|dedicated|is|are) (?:in|into|to) the public domain"),
     ("wtfpl", "wtfpl.net", r"https?:\/\/www\.wtfpl\.net"),
     ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit", "dealings in the software", r"out of or in connection with the software or the use or other dealings in the software"),
+    ("x11", "promote the sale", r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("isc", "special direct indirect", r"in no event shall the author be liable for any special direct indirect or consequential damages"),
+    ("isc", "disclaims all warranties", r"the author disclaims all warranties with regard to this software including all implied warranties"),
+    ("bsd", "source code must retain", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "substitute goods", r"procurement of substitute goods or services loss of use data or profits or business interruption"),
+    ("bsd-4-clause", "product includes software", r"this product includes software developed by the university of california"),
+    ("bsd-2-clause", "views and conclusions", r"the views and conclusions contained in the software and documentation are those of the authors"),
+    ("apache-2.0", "as is basis", r"distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", "limitations under the", r"see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e"),
+    ("apache-2.0", "perpetual worldwide", r"perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e"),
+    ("apache-2.0", "contributor license", r"licensed to the apache software foundation under one or more contributor license agreements"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("gpl", "hope that it will be useful", r"distributed in the hope that it will be useful but without any warranty without even the implied warranty"),
+    ("gpl", "any later version", r"either version [123](?:\.0)? of the licen[cs]e or at your option any later version"),
+    ("gpl-2.0", "temple place", r"59 temple place suite 330 boston ma"),
+    ("gpl-2.0", "51 franklin", r"51 franklin st(?:reet)? fifth floor boston ma"),
+    ("gpl", "guarantee your freedom", r"intended to guarantee your freedom to share and change"),
+    ("gpl-3.0", "propagate or modify", r"you may not propagate or modify a covered work except as expressly provided"),
+    ("gpl-2.0", "verbatim copies of the program", r"you may copy and distribute verbatim copies of the program s source code"),
+    ("lgpl", "linking with the library|uses the library", r"work that uses the library|linking with the library"),
+    ("lgpl", "free software", r"this library is free software you can redistribute it and or modify it under the terms of the gnu"),
+    ("agpl-3.0", "remotely through a computer network", r"users interacting with it remotely through a computer network"),
+    ("gfdl-1.3", "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("gpl-exception-classpath", "special exception", r"as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gpl-exception-gcc", "runtime library exception", r"gcc runtime library exception"),
+    ("gpl-exception-font", "uses this font", r"as a special exception if you create a document which uses this font"),
+    ("mpl-2.0", "incompatible with secondary", r"this source code form is incompatible with secondary licen[cs]es"),
+    ("mpl-1.1", "initial developer of the original code", r"the initial developer of the original code is"),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1"),
+    ("cddl-1.0", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("cddl-1.0", "opensolaris.org", r"https?:\/\/(?:www\.)?opensolaris\.org\/os\/licensing"),
+    ("epl-2.0", "eclipse.org/legal", r"https?:\/\/(?:www\.)?eclipse\.org\/legal\/epl-(?:2\.0|v20)"),
+    ("epl-1.0", "eclipse.org/legal", r"https?:\/\/(?:www\.)?eclipse\.org\/legal\/epl-v10"),
+    ("epl-1.0", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1\.0"),
+    ("epl-2.0", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e 2\.0"),
+    ("bsl-1.0", "machine executable object code", r"machine executable object code generated by a source language processor"),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented"),
+    ("zlib", "as is without any express", r"provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("unlicense", "unlicense.org", r"https?:\/\/unlicense\.org"),
+    ("unlicense", "publish use compile", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0-1.0", "creativecommons.org/publicdomain", r"https?:\/\/creativecommons\.org\/publicdomain\/zero\/1\.0"),
+    ("cc0-1.0", "neighboring rights", r"waived all copyright and related (?:or|and) neighboring rights"),
+    ("cc-by-4.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by\/4\.0"),
+    ("cc-by-sa-4.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by-sa\/4\.0"),
+    ("cc-by-nc-4.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by-nc\/4\.0"),
+    ("cc-by-nd-4.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by-nd\/4\.0"),
+    ("cc-by-nc-sa-4.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by-nc-sa\/4\.0"),
+    ("cc-by-nc-nd-4.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by-nc-nd\/4\.0"),
+    ("cc-by-3.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by\/3\.0"),
+    ("cc-by-sa-3.0", "creativecommons.org/licenses", r"https?:\/\/creativecommons\.org\/licenses\/by-sa\/3\.0"),
+    ("ofl-1.1", "reserved font name", r"with reserved font names?"),
+    ("ofl-1.1", "scripts.sil.org", r"https?:\/\/scripts\.sil\.org\/ofl"),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project"),
+    ("openssl", "ssleay|eric young", r"redistribution and use of ssleay|this product includes cryptographic software written by eric young"),
+    ("php-3.01", "php software freely available", r"this product includes php software freely available from"),
+    ("psf-2.0", "psf is making", r"psf is making python available to licensee on an as is basis"),
+    ("postgresql", "university of california", r"in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("artistic-2.0", "perl foundation", r"the artistic licen[cs]e 2\.0 copyright the perl foundation"),
+    ("artistic-1.0", "perl itself", r"under the same terms as perl itself"),
+    ("ncsa", "deal with the software", r"to deal with the software without restriction"),
+    ("eupl-1.2", "eupl", r"licensed under the eupl(?: version 1\.[12])?"),
+    ("beerware", "buy me a beer|beer ware", r"you can buy me a beer in return|beer ware licen[cs]e"),
+    ("json", "good, not evil", r"the software shall be used for good not evil"),
+    ("vim", "vim licen", r"(?:the )?vim licen[cs]e"),
+    ("fair", "usage of the works", r"usage of the works is permitted provided that this instrument is retained"),
+    ("mulan-psl-2.0", "mulan", r"mulan psl v2|mulan permissive software licen[cs]e"),
+    ("commercial", "without the express|without the prior", r"without the (?:express|prior) written (?:permission|consent) of"),
+    ("freeware", "freeware", r"(?:this (?:software|program) is|distributed as) freeware"),
+    ("non-commercial", "non commercial", r"(?:for|free for) non commercial (?:use|purposes) only"),
+    ("research-only", "research purposes|academic purposes", r"for (?:academic|research) purposes only"),
     ("all-rights-reserved", "all rights reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"proprietary and confidential|confidential and proprietary"),
     ("copyright-notice", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d"),
 ]
 
 
+#: Labels of notices that say little about the terms.
+WEAK = frozenset(("copyright-notice", "all-rights-reserved", "proprietary", "public-domain", "commercial", "freeware", "non-commercial", "research-only"))
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -151,7 +231,8 @@ class Rule:
 
 
 def _gaps(pattern: str) -> str:
-    return pattern.replace(" ", GAP)
+    """Blanks as gaps; one that may be absent as a gap that may."""
+    return pattern.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
 
 
 _FOLDED = {ord(c): " " for c in MARKS}
@@ -188,8 +269,8 @@ def rules() -> tuple[Rule, ...]:
             keys = ("spdx",) if kind == "tag" else tuple(keyword.split("|")) + (_spdx_keys(spdx) if kind == "header" else ())
             out.append(Rule(f"{label}/{kind}", label, keys, priority, confidence, re.compile(body)))
     for k, (label, keyword, sentence) in enumerate(NOTICES):
-        weak = label in ("copyright-notice", "all-rights-reserved", "proprietary", "public-domain")
-        out.append(Rule(f"{label}/notice-{k}", label, (keyword,), 30 if weak else 90, 0.3 if weak else 0.97, re.compile(_gaps(sentence))))
+        weak = label in WEAK
+        out.append(Rule(f"{label}/notice-{k}", label, tuple(keyword.split("|")), 30 if weak else 90, 0.3 if weak else 0.97, re.compile(_gaps(sentence))))
     return tuple(sorted(out, key=lambda r: (-r.priority, r.name)))
 
 
@@ -217,17 +298,39 @@ def gate(text: str) -> set[int]:
     return active
 
 
-def detect(text: str) -> list[tuple[int, int, Rule]]:
-    """Accepted detections (start, end, rule) of a lower-cased text, in text order."""
-    active = gate(text)
+class Accepted:
+    """Accepted intervals; tells in logarithmic time whether one of them holds another."""
+
+    def __init__(self, starts: list[int]) -> None:
+        self.starts = sorted(set(starts))
+        self.far = [-1] * (len(self.starts) + 1)  # Fenwick tree: the farthest end over intervals that start up to here
+
+    def hold(self, start: int, end: int) -> bool:
+        k, far = bisect.bisect_right(self.starts, start), -1
+        while k:
+            far = max(far, self.far[k])
+            k &= k - 1
+        return far >= end
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect.bisect_left(self.starts, start) + 1
+        while k < len(self.far):
+            self.far[k] = max(self.far[k], end)
+            k += k & -k
+
+
+def detect(text: str, active: Iterable[int] | None = None) -> list[tuple[int, int, Rule]]:
+    """Accepted detections (start, end, rule) of a lower-cased text, in text order; by the gate's rules unless told by which."""
     found = []
-    for k in sorted(active):
+    for k in sorted(gate(text) if active is None else active):
         rule = rules()[k]
         found += [(m.start(), m.end(), rule) for m in rule.regex.finditer(text) if m.end() > m.start()]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name))
+    accepted = Accepted([start for start, _, _ in found])
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in found:
-        if not any(s <= start and end <= e for s, e, _ in kept):
+        if not accepted.hold(start, end):
+            accepted.add(start, end)
             kept.append((start, end, rule))
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
 
@@ -279,8 +382,10 @@ SCHEMA = "doc_id string, n_words long, n_base long, first_word long, last_word l
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: base places, labels, score and the detections (spans in code points).
 
-    Null and empty texts have no words, no labels and score 0; null ids and
-    repeated rows are kept.
+    Null and empty texts have no words, no labels and score 0; ids keep their
+    type, null ids and repeated rows are kept; an empty table gives no rows; very
+    long texts are scanned whole; other columns are ignored.  Where detections
+    overlap without one holding the other, both stand.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,4 +398,4 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield out
 
     out = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.select(id_col).schema[0].dataType))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quantmere.llm import html_extract as H
 from quantmere.llm import license_scan as L
@@ -19,7 +22,7 @@ def test_markup_decides():
     <article><header><h1>Head &amp; line</h1></header><p>One <b>two</b>
       three.<p>Next&nbsp;block<br>line<div class="ad-box">Buy</div><ul><li>i<li>j</ul><form><input>go</form>
     <section class="comments"><p>reader</p></section></article><aside>side</aside><footer>&copy; foot</footer></body></html>"""
-    assert H.extract_group([page]) == ["Head & line\nOne two three.\nNext block\nline\ni\nj"]
+    assert H.extract_group([page]) == ["Head & line\nOne two three.\nNext block line\ni\nj"]
 
 
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>cut <b", "cut"), ("<article><p>a &amp", "a &"), ("<div hidden>no</div><p>yes</p>", "yes"), ("</p></div>x", "x"), ("<!-- a --><p>b</p><!-- open", "b")])
@@ -178,6 +181,55 @@ def test_every_rule_passes_the_gate():
         assert all(L.scan_text(x)["detections"] for x in some), rule.name
 
 
+GAPS = ["\n * ", " ", "  ", "\r\n", "\n# ", "\t", "-", "\n// "]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("permission is hereby granted free of charge gnu general public license version 2 mit apache licensed under the creative commons attribution 4.0 all rights reserved openrail-m copyright 2020 spdx-license-identifier: bsd-3-clause redistribution and use in source".split()), max_size=25), st.randoms())
+def test_gated_is_ungated(words, rng):
+    text = "".join(w + rng.choice(GAPS) for w in words)
+    assert L.detect(text) == L.detect(text, range(len(L.rules())))
+
+
+@pytest.mark.parametrize("text", ["licensed " + "_" * 2000 + " apache", "license " * 3000, "licensed under the " + "the " * 2000 + "gpl", "gpl " + "." * 20000 + " general public license", "neither the name " * 1000, "spdx license identifier: " + "a and " * 2000, "copyright " * 5000])
+def test_hostile_texts_take_little_time(text):
+    began = time.process_time()
+    L.scan_text(text)
+    assert time.process_time() - began < 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), max_size=30))
+def test_accepted_intervals(pairs):
+    accepted, plain = L.Accepted([s for s, _ in pairs]), []
+    for s, n in pairs:
+        assert accepted.hold(s, s + n) == any(a <= s and s + n <= b for a, b in plain)
+        accepted.add(s, s + n)
+        plain.append((s, s + n))
+
+
+WORD_RE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["MIT", "mit", "License", "license", "apache", "general", "public", "x", "é", "license1", " ", "--", "\n"]), max_size=40))
+def test_base_columns_by_brute_force(parts):
+    text = " ".join(parts)
+    words = WORD_RE.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    hits = sorted((k, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+    r = L.scan_text(text)
+    assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(hits), ",".join(sorted({x for _, x in hits})))
+    assert (r["first_word"], r["last_word"]) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
+    assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+
+
+def test_license_tables(spark):
+    docs = spark.createDataFrame([("a", "word " * 300_000 + "MIT License", 1), (None, None, 2), ("a", "", 3)], "doc_id string, text string, n_words int")
+    out = sorted(((str(r.doc_id), r.n_words, r.first_word, r.labels) for r in L.scan_licenses(docs).collect()), key=str)
+    assert out == [("None", 0, None, ""), ("a", 0, None, ""), ("a", 300_002, 300_000, "mit")]
+    assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
 def test_contained_detections_are_suppressed():
     r = L.scan_text("Licensed under the Apache License, Version 2.0")
     assert [d["rule"] for d in r["detections"]] == ["apache-2.0/grant"]
@@ -192,18 +244,23 @@ def test_base_places(spark):
     assert (out[2, 0].first_word, out[2, 0].score, out[None, 3].base_labels, out[1, 2].n_base) == (None, 0.0, "gpl", 0)
 
 
-def test_search_matches_sql(spark, tmp_path):
+def test_search_matches_sql(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(0, 0.2, (400, 20)).astype(np.float32)
     v[100:220] = v[100]  # one very common vector
     rows = [(k, x.tolist(), "q") for k, x in enumerate(v)] + [(500, None, ""), (550, [float("nan")] * 20, ""), (600, [1.0, None] + [0.0] * 18, ""), (650, [float("inf")] * 20, "")]
+    rows += [rows[7], rows[7], rows[150], rows[50], rows[50], (50, v[3].tolist(), ""), (7, v[8].tolist(), "")]  # repeated rows, and ids with two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     df.write.parquet(str(tmp_path / "e"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
     want = sorted(map(tuple, con.execute("SELECT query_id, rank, vec_id, score FROM (" + ORACLES["op10_exact_top_k"] + ")").fetchall()))
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in S.top_k(df, df.filter("vec_id % 50 = 0")).collect())
-    assert got == want
+    search = lambda: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in S.top_k(df, df.filter("vec_id % 50 = 0")).collect())
+    assert search() == want
+    monkeypatch.setattr(S, "ROWS", 20)
+    monkeypatch.setattr(S, "QUERIES", 2)
+    monkeypatch.setattr(S, "TOGETHER", 3)
+    assert search() == want  # many blocks, floors that rise
 
 
 def test_search_edges(spark):
