@@ -116,7 +116,7 @@ WITH v AS (
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q, v c
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q, v c
   WHERE q.vec_id <> c.vec_id
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s

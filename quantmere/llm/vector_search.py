@@ -1,13 +1,13 @@
 """Exact top-k inner products by branch and bound over vertical blocks.
 
-Vectors are integers, floor(scale * x).  Candidates are packed into blocks in
-vertical layout (one row of memory per dimension); so are the queries.  Every
-query block meets every candidate block once, as packed rows.  Within a pair
-the scores are accumulated a few dimensions at a time; after each step a query
-keeps the candidates whose score so far plus the Cauchy-Schwarz bound of the
+Vectors are integers, floor(scale * x).  Candidates are packed into block files in
+vertical layout (one row of memory per dimension); so are the queries.  A task
+reads a few candidate blocks and takes query blocks past them one after another.
+For each query the scores are accumulated a few dimensions at a time; after each
+step it keeps the candidates whose score so far plus the Cauchy-Schwarz bound of the
 remaining dimensions still reaches its threshold, and the survivors are
 compacted.  Thresholds start from a first block that all queries see (real
-candidates, so no result can be lost) and rise as blocks are read.
+candidates, so no result can be lost) and rise from block to block of a task.
 
 Dimensions are visited in the order of their mass over the candidates of the
 block, largest first, which makes the remaining mass small early.
@@ -27,6 +27,7 @@ from .common import get_file, put_file, saved, shared_path
 
 ROWS = 4096  # candidates in a block
 QUERIES = 512  # queries in a block
+TOGETHER = 16  # blocks of either kind that a task reads
 STEP = 8  # dimensions in a vertical block
 EXACT = 2**53
 
@@ -42,7 +43,8 @@ def quantized(vec: Column, scale: int) -> Column:
 
 
 def packed(rows: DataFrame, n_blocks: int, name: str) -> DataFrame:
-    """(block, ids, data, width, kind, n): ids and vectors of a block as bytes, dimension by dimension."""
+    """(block, path) of files with the ids, the vectors dimension by dimension, and how often each row occurs."""
+    out = shared_path(rows.sparkSession, name)
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
@@ -52,39 +54,34 @@ def packed(rows: DataFrame, n_blocks: int, name: str) -> DataFrame:
         data = np.zeros((len(group), width), kind)  # shorter vectors are padded with zeros
         for k, v in enumerate(group["vec"]):
             data[k, : len(v)] = v
-        ids = group["vec_id"].to_numpy("<i8")
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "ids": [ids.tobytes()], "data": [np.ascontiguousarray(data.T).tobytes()], "width": [width], "kind": [kind], "n": [len(group)]})
+        block = int(group["block"].iloc[0])
+        path = f"{out}/{block}.pkl"
+        put_file(path, pickle.dumps((group["vec_id"].to_numpy(np.int64), np.ascontiguousarray(data.T), group["times"].to_numpy(np.int64))))
+        return pd.DataFrame({"block": [block], "path": [path]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n_blocks)))
-    return saved(dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, data binary, width int, kind string, n int"), name)
+    return saved(dealt.groupBy("block").applyInPandas(pack, "block long, path string"), name)
 
 
-def _matrix(data: bytes, width: int, kind: str, n: int, full: int) -> np.ndarray:
-    out = np.zeros((full, n), np.int64)
-    out[:width] = np.frombuffer(data, kind).reshape(width, n)
+def _padded(data: np.ndarray, full: int) -> np.ndarray:
+    out = np.zeros((full, data.shape[1]), np.int64)
+    out[: len(data)] = data
     return out
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
-
-
 class QueryBlock:
-    """Queries with their best results so far."""
+    """Queries with their best results so far: score, id and times of each candidate row."""
 
-    def __init__(self, ids: bytes, data: bytes, width: int, kind: str, n: int, k: int, floor: np.ndarray | None = None) -> None:
-        self.ids, self.q, self.k = np.frombuffer(ids, "<i8"), _matrix(data, width, kind, n, width), k
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
-        none = np.iinfo(np.int64).min
-        self.floor = np.full(n, none) if floor is None else floor.copy()  # a k-th best score known to exist
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
+        n = len(ids)
+        self.ids, self.q, self.k = ids, _padded(data, len(data)), k
+        self.best: list[np.ndarray] = [np.zeros((3, 0), np.int64)] * n
+        self.floor = np.full(n, np.iinfo(np.int64).min) if floor is None else floor.copy()  # a k-th best score known to exist
         self.peak = int(np.abs(self.q).max(initial=0))
 
-    def search(self, ids: np.ndarray, data: bytes, width: int, kind: str) -> None:
-        full = max(width, len(self.q))
-        cand = _matrix(data, width, kind, len(ids), full)
-        q = np.zeros((full, self.q.shape[1]), np.int64)
-        q[: len(self.q)] = self.q
+    def search(self, ids: np.ndarray, data: np.ndarray, times: np.ndarray) -> None:
+        full = max(len(data), len(self.q))
+        cand, q = _padded(data, full), _padded(self.q, full)
         mass = (cand.astype(float) ** 2).sum(1)
         order = np.argsort(-mass * ((q.astype(float) ** 2).sum(1) + 1), kind="stable")
         cand, q = cand[order], q[order]
@@ -114,72 +111,73 @@ class QueryBlock:
                 score = score + q[done:upto, j] @ cand[done:upto, at]
                 done = upto
             if at.size:
-                s, i = self.best[j]
                 if len(at) > 4 * self.k:  # ties at the k-th score stay
                     cut = np.partition(score, len(score) - self.k)[len(score) - self.k]
                     at, score = at[score >= cut], score[score >= cut]
-                s, i = _top(np.concatenate([s, score.astype(np.int64)]), np.concatenate([i, ids[at]]), self.k)
-                self.best[j] = (s, i)
-                if len(s) == self.k:
-                    self.floor[j] = max(self.floor[j], s[-1])
+                best = np.concatenate([self.best[j], np.stack([score.astype(np.int64), ids[at], times[at]])], axis=1)
+                self.best[j] = best = best[:, np.lexsort((best[1], -best[0]))[: self.k]]
+                if best.shape[1] == self.k:
+                    self.floor[j] = max(self.floor[j], best[0, -1])
 
     def rows(self) -> pd.DataFrame:
-        n = [len(s) for s, _ in self.best]
-        scores = np.concatenate([s for s, _ in self.best]) if n else np.zeros(0, np.int64)
-        ids = np.concatenate([i for _, i in self.best]) if n else np.zeros(0, np.int64)
-        return pd.DataFrame({"query_id": np.repeat(self.ids, n), "vec_id": ids, "score": scores})
+        score, ids, times = np.concatenate(self.best, axis=1) if len(self.best) else np.zeros((3, 0), np.int64)
+        return pd.DataFrame({"query_id": np.repeat(self.ids, [b.shape[1] for b in self.best]), "vec_id": ids, "score": score, "times": times})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query but rows with its own id.
 
-    Ties go to the smaller id.  Vectors that are null, or hold null or non-finite
-    components, and rows with a null id take no part; shorter vectors are padded
-    with zeros; equal rows count once.  An empty table gives no rows.
+    Every candidate row counts, so a row that is there twice may hold two ranks;
+    equal query rows are one query, and query rows of one id and different vectors
+    share its k ranks.  Ties go to the smaller id.  Vectors that are null, or hold
+    null or non-finite components, and rows with a null id take no part; shorter
+    vectors are padded with zeros; other columns are ignored.  An empty table
+    gives no rows.
     """
     cols = [F.col(id_col).cast("long").alias("vec_id"), quantized(F.col(vec_col), scale).alias("vec")]
     use = usable(F.col(vec_col)) & F.col(id_col).isNotNull()
-    cand = vectors.filter(use).select(*cols).dropDuplicates()
-    asked = queries.filter(use).select(*cols).dropDuplicates()
+    cand = vectors.filter(use).select(*cols).groupBy("vec_id", "vec").agg(F.count("*").alias("times"))
+    asked = queries.filter(use).select(*cols).distinct().withColumn("times", F.lit(1).cast("long"))
     n_c, n_q = cand.count(), asked.count()
     c_blocks = packed(cand, max(1, -(-n_c // ROWS)), "candidate-blocks")
     q_blocks = packed(asked, max(1, -(-n_q // QUERIES)), "query-blocks")
-    # thresholds: the k-th best of one block, which workers read from the shared folder
-    seed_uri = shared_path(vectors.sparkSession, "seed-block") + ".pkl"
-
-    def put_seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            r = batch.iloc[0]
-            put_file(seed_uri, pickle.dumps((r["ids"], r["data"], int(r["width"]), r["kind"])))
-            yield pd.DataFrame({"done": [True]})
-
-    seeded = c_blocks.orderBy("block").limit(1).mapInPandas(put_seed, "done boolean").count()
+    seed = c_blocks.orderBy("block").first()  # thresholds: the k-th best of one block
+    floors = shared_path(vectors.sparkSession, "query-floors")
 
     def with_floor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, data, width, kind = pickle.loads(get_file(seed_uri))
+        first = pickle.loads(get_file(seed["path"]))
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                block = QueryBlock(r.ids, r.data, r.width, r.kind, r.n, k)
-                block.search(np.frombuffer(ids, "<i8"), data, width, kind)
-                out.append((r.block, r.ids, r.data, r.width, r.kind, r.n, block.floor.tobytes()))
-            yield pd.DataFrame(out, columns=["block", "ids", "data", "width", "kind", "n", "floor"])
-
-    started = q_blocks.repartition(max(1, -(-n_q // QUERIES)), "block") if seeded else q_blocks.limit(0)
-    started = started.mapInPandas(with_floor, "block long, ids binary, data binary, width int, kind string, n int, floor binary")
-    # a query block goes to each group of candidate blocks, which it reads one after another
-    groups = int(max(1, min(64, -(-n_c // ROWS))))
-    asked_in = saved(started, "query-floors").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found_in = c_blocks.withColumn("group", F.pmod(F.col("block"), F.lit(groups)).cast("int"))
-    pairs = found_in.select("group", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.col("width").alias("c_width"), F.col("kind").alias("c_kind")).join(asked_in, "group")
+            paths = []
+            for block, path in zip(batch["block"], batch["path"], strict=True):
+                ids, data, _ = pickle.loads(get_file(path))
+                queries = QueryBlock(ids, data, k)
+                queries.search(*first)
+                paths.append(f"{floors}/{block}.pkl")
+                put_file(paths[-1], pickle.dumps((ids, data, queries.floor)))
+            yield pd.DataFrame({"block": batch["block"], "path": paths})
+
+    if seed:
+        q_blocks = saved(q_blocks.repartition(max(1, -(-n_q // QUERIES)), "block").mapInPandas(with_floor, "block long, path string"), "query-blocks")
+    together = lambda blocks, name: blocks.groupBy(F.floor(F.col("block") / TOGETHER).alias(name)).agg(F.collect_list("path").alias(f"{name}_paths"))
+    slices = -(-max(1, -(-n_q // QUERIES)) // TOGETHER)
+    units = together(c_blocks, "c").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).join(together(q_blocks, "q"), "q")
+    tasks = slices * max(1, -(-n_c // (ROWS * TOGETHER)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                block = QueryBlock(r.ids, r.data, r.width, r.kind, r.n, k, np.frombuffer(r.floor, "<i8"))
-                block.search(np.frombuffer(r.c_ids, "<i8"), r.c_data, r.c_width, r.c_kind)
-                yield block.rows()
-
-    partial = pairs.mapInPandas(scan, "query_id long, vec_id long, score long")
+            for c_paths, q_paths in zip(batch["c_paths"], batch["q_paths"], strict=True):
+                blocks = [pickle.loads(get_file(p)) for p in c_paths]
+                for path in q_paths:
+                    ids, data, floor = pickle.loads(get_file(path))
+                    queries = QueryBlock(ids, data, k, floor)
+                    for block in blocks:
+                        queries.search(*block)
+                    yield queries.rows()
+
+    spread = units.repartition(min(tasks, 20_000), "c", "q").select("c_paths", "q_paths")
+    partial = spread.mapInPandas(scan, "query_id long, vec_id long, score long, times long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)  # the first k hold the first k copies
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k)))))
+    ranked = copies.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
