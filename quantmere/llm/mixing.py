@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
+from .positions import mark_column, placed, write_marks
 
 #: Multipliers of the block permutation: primes above any number of blocks in a shard.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
@@ -98,34 +99,27 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], budget: float
 
 
 def source_quotas(targets: DataFrame, block: int) -> DataFrame:
-    """Sainte-Laguë over sources without gathering them: thresholds by aggregates.
+    """Sainte-Laguë over sources without gathering them: one aggregate and one sort.
 
-    Each job counts the seats above 64 thresholds at once; a few jobs narrow
-    the threshold to one double, and ties go to the lower rank.
+    At the level total / (2 seats - n) of n sources at most all seats are given, at
+    total / (2 seats + n) at least all; the quotients between, about two a source,
+    are sorted for the seats that are left.  Ties go to the lower rank.
     """
-    total, top, n = targets.agg(F.sum("target"), F.max("target"), F.count("*")).first()
+    total, n = targets.agg(F.sum("target"), F.count("*")).first()
     seats = int(round((total or 0) / block))
     if not seats:
         return targets.withColumn("quota", F.lit(0).cast("long"))
 
-    def at(level: Column) -> Column:
-        return F.floor((F.col("target") / level + 1) / 2)
+    def at(level: float) -> Column:
+        return F.floor((F.col("target") / F.lit(level) + 1) / 2)
 
-    lo, hi = total / (2.0 * seats + 2.0 * n + 4), top * 2.0 + 1
-    for _ in range(40):
-        grid = np.unique(np.geomspace(lo, hi, 66)[1:-1])
-        grid = grid[(grid > lo) & (grid < hi)]
-        if not len(grid):
-            break
-        counts = targets.agg(*[F.sum(at(F.lit(float(g)))).alias(f"c{k}") for k, g in enumerate(grid)]).first()
-        enough = [c >= seats for c in counts]
-        k = enough.count(True)
-        lo, hi = (grid[k - 1] if k else lo), (grid[k] if k < len(grid) else hi)
-    base = targets.withColumn("quota", at(F.lit(float(hi))).cast("long"))
-    left = seats - (base.agg(F.sum("quota")).first()[0] or 0)
-    next_quotient = F.col("target") / (2 * F.col("quota") + 1)
-    order = Window.orderBy(next_quotient.desc(), "rank")
-    return base.withColumn("quota", F.col("quota") + (F.row_number().over(order) <= F.lit(left)).cast("long"))
+    sure = at(total / (2 * seats - n)) if 2 * seats > n else F.lit(0).cast("long")
+    bound = targets.withColumn("sure", sure).withColumn("most", at(total / (2 * seats + n)) + 1)
+    left = seats - bound.agg(F.sum("sure")).first()[0]
+    open_ = bound.select("rank", F.explode(F.sequence("sure", F.col("most"))).alias("seat"), "target").filter("target > 0")
+    order = Window.orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), "rank", "seat")
+    won = open_.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= left).groupBy("rank").agg(F.count("*").alias("won"))
+    return bound.join(won, "rank", "left").select(*targets.columns, (F.col("sure") + F.coalesce("won", F.lit(0))).cast("long").alias("quota"))
 
 
 def shard_quotas(seats_col: str, block: int, max_repeat: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -157,36 +151,40 @@ def mix_sources(
 
     Input needs doc_id, text and source.  Returns doc_id, source, size,
     source_size, target, taken and repeats (whole passes over its shard), with the
-    columns named in ``extra`` carried along.  Null
+    columns named in ``extra`` carried along; other columns are ignored.  Null
     or empty texts have size 0 and are never taken; a null source is a source
-    of its own, last in order; equal rows are kept as rows; an empty table gives an empty
-    result.  Sources of fewer words than a block still get their quota in
-    words: the last block is cut to measure.
+    of its own, last in order; equal rows are kept as rows, and where rows share
+    an id their texts decide their order; an empty table gives an empty
+    result.  A source whose target is below one block gets its rounded target in
+    words, beside the seats.
     """
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
-    sized = saved(docs.select("doc_id", *extra, key.alias("source_key"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = saved(docs.select("doc_id", *extra, key.alias("source_key"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
     sources = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sources = sources.select(F.when(~F.col("source_key.none"), F.col("source_key.name")).alias("source"), "source_key", "source_size")
     targets = source_targets(sources.select("source", "source_size"), weights, budget, max_repeat)
     quotas = saved(source_quotas(saved(targets, "mix-targets"), block), "mix-quotas")
+    small = F.col("target") < block
+    quotas = quotas.withColumn("words", F.when(small, F.round("target").cast("long")).otherwise(F.col("quota") * block))
+    quotas = quotas.withColumn("quota", F.when(small, F.ceil(F.col("words") / block)).otherwise(F.col("quota")).cast("long"))
     quotas = quotas.withColumn("source_key", key).withColumn(
         "n_shards", F.greatest(F.lit(1), F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words))).cast("long")
     )
     # the source table is joined without a hint: Spark broadcasts it only below its checked threshold
-    joined = sized.join(quotas.select("source_key", "source", "source_size", "target", "quota", "n_shards"), "source_key")
+    joined = sized.join(quotas.select("source_key", "source", "source_size", "target", "quota", "words", "n_shards"), "source_key")
     spread = joined.withColumnRenamed("quota", "seats").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("n_shards")))
     shards = spread.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
     shard_schema = "source_key struct<none:boolean,name:string>, shard long, shard_size long, quota long"
     shares = shards.groupBy("source_key").applyInPandas(shard_quotas("seats", block, max_repeat), shard_schema)
-    line = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    line = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "tie")
     placed = spread.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     rows = placed.join(shares, ["source_key", "shard"])
     return rows.select("doc_id", *extra, "source", "size", "source_size", "target", *taken_words(block, max_repeat, seed))
 
 
 def taken_words(block: int, max_repeat: float, seed: int) -> tuple[Column, Column]:
-    """(taken, repeats) from end, size, shard_size and the shard's quota."""
-    want = F.least(F.col("quota") * block, F.floor(F.col("shard_size") * F.lit(max_repeat)).cast("long"))
+    """(taken, repeats) from end, size, shard_size, the shard's quota and the source's words."""
+    want = F.least(F.col("quota") * block, F.col("words"), F.floor(F.col("shard_size") * F.lit(max_repeat)).cast("long"))
     passes = F.coalesce(F.floor(F.try_divide(want, F.col("shard_size"))), F.lit(0)).cast("long")
     left = want - passes * F.col("shard_size")
     # block b is the ((b * prime + shift) mod blocks)-th to be taken
@@ -209,3 +207,23 @@ def taken_words(block: int, max_repeat: float, seed: int) -> tuple[Column, Colum
     extra = F.aggregate(touched, F.lit(0).cast("long"), lambda acc, b: acc + part(b))
     taken = F.when(F.col("size") > 0, passes * F.col("size") + extra).otherwise(F.lit(0)).cast("long")
     return taken.alias("taken"), passes.alias("repeats")
+
+
+def mixed_documents(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
+    """Whole documents, as often as the mix takes them: the rows of ``docs``, all columns kept.
+
+    The mix takes words in blocks; a row stands once for each whole pass and, if
+    the blocks beyond hold the share p of its words, once more with probability p
+    by a seeded hash of its id and text.  Rows without words, of which nothing can
+    be taken, go; equal rows are rows of their own and drawn alike.  Only sizes and places are
+    shuffled, not texts; no name of a column can clash.
+    """
+    docs, file, row = placed(docs)
+    mixed = mix_sources(docs.select("doc_id", "text", "source", file.alias("file"), row.alias("row"), F.xxhash64("doc_id", "text").alias("draw")), extra=("file", "row", "draw"), seed=seed, **options)
+    share = F.try_divide(F.col("taken") - F.col("repeats") * F.col("size"), F.col("size"))
+    draw = F.pmod(F.xxhash64(F.lit(seed + 3), "draw"), F.lit(1 << 30)) / float(1 << 30)
+    times = F.col("repeats") + (draw < F.coalesce(share, F.lit(0.0))).cast("long")
+    folder = write_marks(mixed.filter("size > 0").select("file", "row", times.alias("value")).filter("value > 0"), "mix-times")
+    free = next(name for k in range(len(docs.columns) + 1) if (name := f"copy{k}") not in docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(0), mark_column(folder, file, row).cast("int")))
+    return docs.select("*", copies.alias(free)).drop(free)

@@ -75,3 +75,34 @@ def test_mix(spark):
 
 def test_empty(spark):
     assert X.mix_sources(docs_of(spark, [])).count() == 0
+
+
+def test_source_quotas_by_brute_force(spark):
+    rng = random.Random(9)
+    for n in (1, 2, 3, 40):
+        target = [float(rng.choice([0, 0, 1, 20, 31, 33, 64, 640, 640, 5000, rng.randint(1, 9000)])) for _ in range(n)]
+        frame = spark.createDataFrame([(k + 1, t) for k, t in enumerate(target)], "rank long, target double")
+        got = [r.quota for r in X.source_quotas(frame, 64).orderBy("rank").collect()]
+        seats = int(round(sum(target) / 64))
+        assert got == brute(target, seats, [seats] * n), target
+
+
+def test_small_sources_get_their_words(spark):
+    docs = docs_of(spark, [(k, "w " * n, s, "", "") for k, (n, s) in enumerate([(1, "a"), (3, "b"), (9, "c"), (30, "d"), (4000, "e"), (0, "f")])])
+    out = X.mix_sources(docs).toPandas()
+    small = out[out["target"] < 64]
+    assert len(small) >= 4 and (small["taken"] - small["target"].round()).abs().max() <= 1
+
+
+def test_mixed_documents(spark, tmp_path):
+    rows = [(k, "w " * (k % 50 + 1), "ab"[k % 2], "x", "y") for k in range(300)] + [(300, None, "a", "", ""), (300, "", "a", "", ""), (5, "w " * 6, "b", "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy0 string, row string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    out = X.mixed_documents(read)
+    assert out.columns == docs.columns
+    got = sorted(map(str, out.collect()))
+    assert got == sorted(map(str, X.mixed_documents(docs.repartition(3)).collect()))
+    words = sum(len((r.text or "").split()) for r in out.collect())
+    assert abs(words / (1.5 * sum(len((t or "").split()) for _, t, *_ in rows)) - 1) < 0.1
+    assert X.mixed_documents(read.limit(0)).count() == 0
