@@ -233,17 +233,64 @@ def _apart(found: list[Formation]) -> list[Formation]:
     return kept
 
 
-def _spans(p: Pivots, main: int):
-    """For every run of two or more points of kind ``main``: those points and the others inside it."""
-    m = np.flatnonzero(p.kind == main)
-    o = np.flatnonzero(p.kind == -main)
-    lo = np.searchsorted(p.at[o], p.at[m], side="left")
-    hi = np.searchsorted(p.at[o], p.at[m], side="right")
-    for i in range(len(m) - 1):
-        for j in range(i + 1, len(m)):
-            inside = o[lo[i] : hi[j]]
-            if len(inside) >= TRIANGLE["touches"]:
-                yield m[i : j + 1], inside
+@dataclass
+class Spans:
+    """Runs of two or more points of one kind and the others inside them, with both lines of all runs at once.
+
+    Entry (i, j) of each array belongs to the run from the i-th to the j-th point;
+    the lines come from prefix sums.
+    """
+
+    main: np.ndarray
+    other: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    able: np.ndarray  # whether the run has enough points
+    bars: np.ndarray
+    tilt: tuple[np.ndarray, np.ndarray]  # of the main and of the other line
+    at_start: tuple[np.ndarray, np.ndarray]
+    at_end: tuple[np.ndarray, np.ndarray]
+
+    def runs(self, mask: np.ndarray):
+        """The points of the runs that are able and in the mask, in order."""
+        for i, j in np.argwhere(self.able & mask).tolist():
+            yield self.main[i : j + 1], self.other[self.lo[i] : self.hi[j]]
+
+
+#: What rounding may change in sums of prices; runs within it are looked at in full.
+SLACK = 1e-7
+
+
+def spans(p: Pivots, main: int, least: int) -> Spans:
+    m, o = np.flatnonzero(p.kind == main), np.flatnonzero(p.kind == -main)
+    lo, hi = np.searchsorted(p.at[o], p.at[m], side="left"), np.searchsorted(p.at[o], p.at[m], side="right")
+    k = np.arange(len(m))
+    origin = p.at.mean() if len(p.at) else 0.0
+
+    def lines(at: np.ndarray, price: np.ndarray, a: np.ndarray, b: np.ndarray):
+        x = at - origin
+        sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (x, price, x * x, x * price)]
+        n = np.maximum(b[None, :] - a[:, None], 1)
+        sx, sy, sxx, sxy = (v[b][None, :] - v[a][:, None] for v in sums)
+        spread = n * sxx - sx * sx
+        slope = np.where(spread > 0, (n * sxy - sx * sy) / np.where(spread > 0, spread, 1), 0.0)
+        mean = sy / n
+        tilt = np.where(mean != 0, slope / np.where(mean != 0, mean, 1), 0.0)
+        y = lambda t: mean + slope * (t - origin - sx / n)
+        return tilt, y(p.at[m][:, None]), y(p.at[m][None, :])
+
+    own = lines(p.at[m].astype(float), p.price[m], k, k + 1)
+    others = lines(p.at[o].astype(float), p.price[o], lo, hi)
+    able = (k[None, :] > k[:, None]) & (hi[None, :] - lo[:, None] >= least)
+    bars = p.at[m][None, :] - p.at[m][:, None] + 1
+    return Spans(m, o, lo, hi, able, bars, (own[0], others[0]), (own[1], others[1]), (own[2], others[2]))
+
+
+def _may_close(s: Spans, sign: int) -> np.ndarray:
+    """Runs whose lines, the main one above for sign +1, may come closer without crossing."""
+    a, b = (sign * (x - y) for x, y in (s.at_start, s.at_end))
+    slack = SLACK * (np.abs(s.at_start[0]) + np.abs(s.at_end[0]))
+    return (a > -slack) & (b > -slack) & (b < a + slack)
 
 
 def _tilt(line: Line, price: np.ndarray) -> float:
@@ -254,7 +301,10 @@ def _tilt(line: Line, price: np.ndarray) -> float:
 def find_triangle(name: str, sign: int, p: Pivots, high, low, close) -> list[Formation]:
     """A flat side (above for sign +1) and a rising (falling) side that closes in on it."""
     out = []
-    for flat, other in _spans(p, sign):
+    s = spans(p, sign, TRIANGLE["touches"])
+    level = sign * s.tilt[0]
+    may = (level >= -TRIANGLE["flat"] * TRIANGLE["wrong_way"] - SLACK) & (level <= TRIANGLE["flat"] + SLACK) & (sign * s.tilt[1] > -SLACK) & (s.bars >= TRIANGLE["bars"])
+    for flat, other in s.runs(may & _may_close(s, sign)):
         side = fit(p.at[flat], p.price[flat], sign > 0)
         if not -TRIANGLE["flat"] * TRIANGLE["wrong_way"] <= sign * _tilt(side, p.price[flat]) <= TRIANGLE["flat"]:
             continue
@@ -277,7 +327,9 @@ def _closing(upper: Line, lower: Line, start: int, end: int) -> bool:
 
 def find_symmetrical(name: str, sign: int, p: Pivots, high, low, close) -> list[Formation]:
     out = []
-    for tops, lows in _spans(p, 1):
+    s = spans(p, 1, SYMMETRICAL["touches"])
+    may = (s.tilt[0] < -SYMMETRICAL["slope"] + SLACK) & (s.tilt[1] > SYMMETRICAL["slope"] - SLACK) & (s.bars >= SYMMETRICAL["bars"])
+    for tops, lows in s.runs(may & _may_close(s, 1)):
         upper = fit(p.at[tops], p.price[tops], True)
         lower = fit(p.at[lows], p.price[lows], False)
         start, end = int(p.at[tops[0]]), int(p.at[tops[-1]])

@@ -74,13 +74,10 @@ def cadence_triggers(calendar: DataFrame, every: str, *, day: int = 1, ts: str =
     bars = calendar.select(F.col(ts).alias("ts")).distinct()
     if every in ("daily", "weekly"):
         step = {"daily": 1, "weekly": 7}[every]
-        whole = bars.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        # each bar fires if a step lies in (previous bar, bar]; no step table is needed
-        lo = F.col("lo")
-        stepped = lambda t: F.floor((F.unix_micros(t) - F.unix_micros(lo)) / (step * 86_400_000_000.0))
-        prev = F.lag("ts").over(Window.orderBy("ts"))
-        placed = bars.join(F.broadcast(whole)).withColumn("prev", prev)
-        return placed.filter(F.col("prev").isNull() | (stepped(F.col("ts")) > stepped(F.col("prev")))).select("ts")
+        whole = bars.agg(F.min("ts").alias("lo"))
+        # a bar fires if no bar before it is in its step
+        taken = F.floor((F.unix_micros("ts") - F.unix_micros("lo")) / (step * 86_400_000_000.0))
+        return bars.join(F.broadcast(whole)).groupBy(taken.alias("step")).agg(F.min("ts").alias("ts")).select("ts")
     months = {"monthly": 1, "quarterly": 3}[every]
     month = F.trunc("ts", "month")
     by_month = bars.groupBy(month.alias("month")).agg(F.max(F.when(F.dayofmonth("ts") <= day, F.col("ts"))).alias("upto"), F.max("ts").alias("end"))

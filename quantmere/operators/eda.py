@@ -22,9 +22,11 @@ def _finite(c: str) -> Column:
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """One row per column: counts, moments, quartiles, zeros, infinities, mode; a single pass.
+    """One row per column: counts, moments, quartiles, zeros and infinities in one pass, distinct values in another.
 
-    Quantiles are exact and linear; text columns have nulls in the numeric fields.
+    Quantiles are exact and linear, of a column all at once; text columns have nulls
+    in the numeric fields.  Distinct values are counted in two levels over all
+    columns together, so no row is expanded by the aggregation.
     """
     numeric = set(numeric_columns(df))
     n = F.count(F.lit(1))
@@ -34,26 +36,34 @@ def column_stats(df: DataFrame) -> DataFrame:
         raw = F.col(c).cast("double") if isnum else F.lit(None).cast("double")
         k = F.count(x)
         num = lambda v, on=isnum: v if on else F.lit(None).cast("double")
+        quartile = F.percentile(x, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))
         missing = F.count_if(F.col(c).isNull() | (F.isnan(F.col(c)) if kind in ("double", "float") else F.lit(False)))
         per.append(
             F.struct(
                 F.lit(c).alias("column"), F.lit(kind).alias("dtype"), (n - missing).alias("count"), missing.alias("missing"),
-                F.try_divide(missing * 100.0, n).alias("missing_pct"), F.count_distinct(c).alias("distinct"),
+                F.try_divide(missing * 100.0, n).alias("missing_pct"),
                 num(F.avg(x)).alias("mean"), num(F.stddev_samp(x)).alias("std"), num(F.min(x)).alias("min"),
-                num(F.percentile(x, F.lit(0.25))).alias("q25"), num(F.percentile(x, F.lit(0.5))).alias("median"), num(F.percentile(x, F.lit(0.75))).alias("q75"), num(F.max(x)).alias("max"),
+                num(quartile[0]).alias("q25"), num(quartile[1]).alias("median"), num(quartile[2]).alias("q75"), num(F.max(x)).alias("max"),
                 num(F.when(k > 2, F.skewness(x) * F.sqrt(k * (k - 1)) / (k - 2))).alias("skew"),
                 num(F.when(k > 3, ((k + 1) * F.kurtosis(x) + 6) * (k - 1) / ((k - 2) * (k - 3)))).alias("kurt"),
                 num(F.try_divide(F.count_if(raw == 0) * 100.0, n)).alias("zeros_pct"), num(F.try_divide(F.count_if(F.abs(raw) == float("inf")) * 100.0, n)).alias("inf_pct"),
             )
         )
-    one = df.agg(F.array(*per).alias("s"))
-    return one.select(F.inline("s"))
+    stats = df.agg(F.array(*per).alias("s")).select(F.inline("s"))
+    values = _unpivoted(df).filter("v IS NOT NULL").groupBy("column", "v").count()
+    distinct = values.groupBy("column").agg(F.count("*").alias("distinct"))
+    first = stats.columns[: stats.columns.index("missing_pct") + 1]
+    return stats.join(distinct, "column", "left").select(*first, F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"), *stats.columns[len(first) :])
+
+
+def _unpivoted(df: DataFrame) -> DataFrame:
+    """(column, v): every cell as text."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("e")).select("e.*")
 
 
 def column_modes(df: DataFrame) -> DataFrame:
     """(column, mode, mode_pct): the most frequent value as text, ties to the smallest; by counts, one row per distinct value."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("e")).select("e.*")
-    counts = long.filter("v IS NOT NULL").groupBy("column", "v").agg(F.count("*").alias("n"))
+    counts = _unpivoted(df).filter("v IS NOT NULL").groupBy("column", "v").agg(F.count("*").alias("n"))
     best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("o"), "v")).alias("b"), F.sum("n").alias("t"))
     return best.select("column", F.col("b.v").alias("mode"), (-F.col("b.o") * 100.0 / F.col("t")).alias("mode_pct"))
 
@@ -86,17 +96,6 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.agg(F.array(*items).alias("s")).select(F.inline("s"))
 
 
-def average_ranks(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
-    """Average-tie ranks of columns; each column is one sort."""
-    out = df
-    for c in columns:
-        keys = [key] if key else []
-        part = Window.partitionBy(*(keys or [F.lit(1)]))
-        rank = F.rank().over(part.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-        out = out.withColumn(f"{c}__rank", F.when(F.col(c).isNotNull(), rank))
-    return out
-
-
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(a, b, corr) of average ranks, over rows complete in all columns.
 
@@ -104,71 +103,85 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     no column is sorted in one task.
     """
     cols = columns or numeric_columns(df)
-    base = df.select(*cols).dropna()
+    whole = base = df.select(*cols).dropna()
     for c in cols:
-        base = base.join(ranks_of(base.select(c), c), c)
+        base = base.join(ranks_of(whole.select(c), c), c)
     ranked = base.select(*[F.col(f"{c}__rank").alias(c) for c in cols])
     return pearson(ranked, cols)
 
 
-def ranks_of(values: DataFrame, c: str) -> DataFrame:
-    """(value, average rank) of the distinct values of one column, by two-level prefix sums."""
-    counts = values.groupBy(c).agg(F.count("*").alias("__n")).repartitionByRange(F.col(c)).withColumn("__p", F.spark_partition_id())
-    return prefix_sum(counts, c, "__n", "__p", f"{c}__before").select(c, (F.col(f"{c}__before") + (F.col("__n") + 1) / 2).alias(f"{c}__rank"))
+def ranks_of(values: DataFrame, c: str, *keys: str) -> DataFrame:
+    """(keys, value, average rank) of the distinct values of one column inside each key, by two-level prefix sums."""
+    counts = values.groupBy(*keys, c).agg(F.count("*").alias("__n"))
+    placed = prefix_sums(counts, (c,), {"__before": "__n"}, keys)
+    return placed.select(*keys, c, (F.col("__before") + (F.col("__n") + 1) / 2).alias(f"{c}__rank"))
+
 
+def prefix_sums(df: DataFrame, order: tuple[str, ...], sums: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds to each row, for each name: value of ``sums``, the value's sum over the rows of its key before it.
 
-def prefix_sum(df: DataFrame, order: str, value: str, part: str, name: str) -> DataFrame:
-    """Sum of ``value`` over the rows before, for rows dealt by range into ``part``: partition totals are broadcast, one row each."""
-    own = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(part).agg(F.sum(value).alias("__t"))
-    before = totals.select(F.col(part).alias("__q"), F.coalesce(F.sum("__t").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    placed = df.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return placed.join(before, F.col(part) == F.col("__q")).withColumn(name, F.col("__own") + F.col("__b")).drop("__own", "__b", "__q")
+    Rows are dealt by ranges of keys and order; sums inside a range are windows,
+    sums of the ranges before are windows over one row for each range and key.
+    """
+    dealt = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("__p", F.spark_partition_id())
+    own = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__p", *keys).agg(*[F.sum(v).alias(f"__t_{k}") for k, v in enumerate(sums.values())])
+    ahead = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__p", *keys, *[F.coalesce(F.sum(f"__t_{k}").over(ahead), F.lit(0)).alias(f"__b_{k}") for k in range(len(sums))])
+    placed = dealt.withColumns({f"__o_{k}": F.coalesce(F.sum(v).over(own), F.lit(0)) for k, v in enumerate(sums.values())})
+    joined = placed.join(before, ["__p", *keys])
+    return joined.select(*df.columns, *[(F.col(f"__o_{k}") + F.col(f"__b_{k}")).alias(name) for k, name in enumerate(sums)])
+
+
+def numbered(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
+    """Rows with their number (from 0) in an order over all of them, by two-level prefix sums."""
+    return prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), order, {name: "__one"}).drop("__one")
 
 
 def drift(a: DataFrame, b: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per shared numeric column: means, spreads, missing shares, KS statistic and Wasserstein-1 distance."""
+    """Per shared numeric column: means, spreads, missing shares, KS statistic and Wasserstein-1 distance; one scan of each frame."""
     shared = columns or [c for c in numeric_columns(a) if c in b.columns]
-    rows = []
-    for c in shared:
-        both = a.select(_finite(c).alias("x"), F.lit(1).alias("w"), F.col(c).isNull().alias("m")).unionByName(b.select(_finite(c).alias("x"), F.lit(0).alias("w"), F.col(c).isNull().alias("m")))
-        in_a, in_b = F.when(F.col("w") == 1, F.col("x")), F.when(F.col("w") == 0, F.col("x"))
-        stats = both.agg(
-            F.avg(in_a).alias("mean_a"), F.avg(in_b).alias("mean_b"), F.stddev_samp(in_a).alias("std_a"), F.stddev_samp(in_b).alias("std_b"),
-            (F.avg(F.when(F.col("w") == 1, F.col("m").cast("double"))) * 100).alias("missing_a"), (F.avg(F.when(F.col("w") == 0, F.col("m").cast("double"))) * 100).alias("missing_b"),
-            F.count(in_a).alias("n_a"), F.count(in_b).alias("n_b"),
-        )
-        rows.append(stats.join(F.broadcast(ecdf_distances(both)), how="left").withColumn("column", F.lit(c)))
-    out = reduce(lambda p, q: p.unionByName(q), rows)
-    return out.select(
+
+    def cells(df: DataFrame, w: int) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(c).alias("column"), _finite(c).alias("x"), F.col(c).isNull().alias("m")) for c in shared])
+        return df.select(F.inline(each)).withColumn("w", F.lit(w))
+
+    both = cells(a, 1).unionByName(cells(b, 0))
+    in_a, in_b = F.when(F.col("w") == 1, F.col("x")), F.when(F.col("w") == 0, F.col("x"))
+    stats = both.groupBy("column").agg(
+        F.avg(in_a).alias("mean_a"), F.avg(in_b).alias("mean_b"), F.stddev_samp(in_a).alias("std_a"), F.stddev_samp(in_b).alias("std_b"),
+        (F.avg(F.when(F.col("w") == 1, F.col("m").cast("double"))) * 100).alias("missing_a"), (F.avg(F.when(F.col("w") == 0, F.col("m").cast("double"))) * 100).alias("missing_b"),
+        F.count(in_a).alias("n_a"), F.count(in_b).alias("n_b"),
+    )
+    return stats.join(ecdf_distances(both, "column"), "column", "left").select(
         "column", "mean_a", "mean_b", F.try_divide(F.col("mean_b") - F.col("mean_a"), F.col("std_a")).alias("mean_shift"),
         F.try_divide(F.col("std_b"), F.col("std_a")).alias("std_ratio"), "ks_stat", "wasserstein", (F.col("missing_b") - F.col("missing_a")).alias("missing_delta"), "n_a", "n_b",
     )
 
 
-def ecdf_distances(both: DataFrame) -> DataFrame:
-    """(ks_stat, wasserstein) of two samples in (x, w: 1 or 0), over their merged distinct values.
+def ecdf_distances(both: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ks_stat, wasserstein) of two samples in (x, w: 1 or 0), over their merged distinct values.
 
     Cumulative counts are two-level prefix sums over range partitions.
     """
-    counts = both.filter("x IS NOT NULL").groupBy("x").agg(F.sum("w").alias("na"), F.sum(1 - F.col("w")).alias("nb"))
-    dealt = counts.repartitionByRange("x").withColumn("p", F.spark_partition_id())
-    first = dealt.groupBy("p").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.min("x").alias("x0"))
-    w = Window.orderBy("p")  # one row per partition
+    counts = both.filter("x IS NOT NULL").groupBy(*keys, "x").agg(F.sum("w").alias("na"), F.sum(1 - F.col("w")).alias("nb"))
+    dealt = counts.repartitionByRange(*[F.col(c) for c in (*keys, "x")]).withColumn("p", F.spark_partition_id())
+    first = dealt.groupBy("p", *keys).agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.min("x").alias("x0"))
+    w = Window.partitionBy(*keys).orderBy("p")  # one row per partition and key
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = first.select(
-        F.col("p").alias("q"), F.coalesce(F.sum("ta").over(upto), F.lit(0)).alias("ba"), F.coalesce(F.sum("tb").over(upto), F.lit(0)).alias("bb"),
+        "p", *keys, F.coalesce(F.sum("ta").over(upto), F.lit(0)).alias("ba"), F.coalesce(F.sum("tb").over(upto), F.lit(0)).alias("bb"),
         F.lead("x0").over(w).alias("next_x0"), F.sum("ta").over(whole).alias("alla"), F.sum("tb").over(whole).alias("allb"),
     )
-    own = Window.partitionBy("p").orderBy("x")
+    own = Window.partitionBy("p", *keys).orderBy("x")
     run = own.rowsBetween(Window.unboundedPreceding, 0)
-    c = dealt.join(edges, F.col("p") == F.col("q"))
+    c = dealt.join(edges, ["p", *keys])
     fa = F.try_divide(F.col("ba") + F.sum("na").over(run), F.col("alla"))
     fb = F.try_divide(F.col("bb") + F.sum("nb").over(run), F.col("allb"))
     gap = F.coalesce(F.lead("x").over(own), F.col("next_x0")) - F.col("x")
-    steps = c.select(F.abs(fa - fb).alias("d"), gap.alias("gap"))
-    return steps.agg(F.max("d").alias("ks_stat"), F.sum(F.col("d") * F.col("gap")).alias("wasserstein"))
+    steps = c.select(*keys, F.abs(fa - fb).alias("d"), gap.alias("gap"))
+    return steps.groupBy(*keys).agg(F.max("d").alias("ks_stat"), F.sum(F.col("d") * F.col("gap")).alias("wasserstein"))
 
 
 def kolmogorov_p(stat: float, n_a: int, n_b: int) -> float:

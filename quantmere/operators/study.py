@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .eda import numbered, ranks_of
 from .indicators import wilder_atr
 
 HORIZONS = (5, 10, 20, 60)
@@ -63,13 +64,12 @@ def path_metrics() -> dict[str, Column]:
 
 
 def _ranked(paths: DataFrame, *keys: str) -> DataFrame:
-    """Average ranks of quality and forward return inside the keys."""
-
-    def rank(c: str) -> Column:
-        ties = F.count("*").over(Window.partitionBy(*keys, c))
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2
-
-    return paths.withColumns({"rq": rank("quality"), "rf": rank("fwd")})
+    """Average ranks of quality and forward return inside the keys, by two-level prefix sums: a key may hold all events."""
+    p = paths.select(*keys, "quality", "fwd")
+    out = p
+    for c in ("quality", "fwd"):
+        out = out.join(ranks_of(p.select(*keys, c), c, *keys), [*keys, c])
+    return out.withColumnsRenamed({"quality__rank": "rq", "fwd__rank": "rf"})
 
 
 def information_coefficient(paths: DataFrame, least: int = 5) -> DataFrame:
@@ -127,8 +127,9 @@ def per_asset(events: DataFrame, bars: DataFrame, *, horizon: int = 20, **option
 def time_stability(events: DataFrame, bars: DataFrame, *, horizon: int = 20, n_folds: int = 5, **options) -> DataFrame:
     """Metrics of folds of equal counts in time; the last takes the remainder."""
     paths = event_paths(events, bars, horizons=(horizon,), **options)
-    everyone = Window.partitionBy("horizon")
-    pos = F.row_number().over(everyone.orderBy("breakout_ts", "asset")) - 1
-    size = F.greatest(F.floor(F.count("*").over(everyone) / n_folds), F.lit(1))
-    fold = F.least(F.floor(pos / size), F.lit(n_folds - 1)).cast("int") + 1
+    placed = numbered(paths, "breakout_ts", "asset", name="pos")
+    whole = paths.agg(F.count("*").alias("all"))  # one row
+    size = F.greatest(F.floor(F.col("all") / n_folds), F.lit(1))
+    fold = F.least(F.floor(F.col("pos") / size), F.lit(n_folds - 1)).cast("int") + 1
+    paths = placed.join(F.broadcast(whole))
     return paths.withColumn("fold", fold).groupBy("fold").agg(*[c.alias(n) for n, c in path_metrics().items()], F.min("breakout_ts").alias("from_ts"), F.max("breakout_ts").alias("to_ts"))

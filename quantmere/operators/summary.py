@@ -85,20 +85,26 @@ def drawdown_details(returns: DataFrame) -> DataFrame:
 
 
 def runup_details(returns: DataFrame) -> DataFrame:
-    """One row per run-up: the stretch from a valley or the start to the peak before the next drawdown."""
-    down = drawdown_details(returns)
-    w = Window.partitionBy("series").orderBy("start")
-    bounds = staged(returns).groupBy("series").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    legs = down.select("series", "valley", F.lead("start").over(w).alias("until")).join(bounds, "series")
-    first = bounds.join(down.groupBy("series").agg(F.min("start").alias("until")), "series", "left").select("series", F.col("t0").alias("from"), F.coalesce("until", "t1").alias("until"))
-    spans = legs.select("series", F.col("valley").alias("from"), F.coalesce("until", "t1").alias("until")).unionByName(first)
-    s = staged(returns).select("series", "ts", "wealth")
-    inside = spans.join(s, "series").filter((F.col("ts") >= F.col("from")) & (F.col("ts") <= F.col("until")))
-    legs = inside.groupBy("series", "from", "until").agg(
-        F.min_by("wealth", "ts").alias("w0"), F.max(F.struct("wealth", (-F.unix_micros("ts")).alias("o"), "ts")).alias("top")
+    """One row per run-up: the stretch from a valley or the start to the peak before the next drawdown.
+
+    Bars are numbered by the valleys up to them and the drawdowns begun before
+    them; where both numbers agree the bar is in a stretch.  No join with the
+    episodes, so the work doesn't grow with their number.
+    """
+    w, span = ordered(), Window.partitionBy("series", "episode")
+    e = _episodes(returns)
+    bottom = F.min(F.when(F.col("down"), F.struct("dd", "ts"))).over(span)["ts"]
+    at_start = F.col("down") & F.col("prev_ts").isNull()  # a drawdown from the first bar begins at it
+    begins = ~F.col("down") & F.coalesce(F.lead("down").over(w), F.lit(False))
+    e = e.withColumns({"bottom": bottom, "begins": begins.cast("int"), "at_start": at_start.cast("int")})
+    legs = F.sum((F.col("down") & (F.col("ts") == F.col("bottom"))).cast("int")).over(running())
+    begun = F.coalesce(F.sum("begins").over(running().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("at_start").over(running())
+    inside = e.withColumns({"leg": legs, "begun": begun}).filter("leg = begun")
+    out = inside.groupBy("series", "leg").agg(
+        F.min("ts").alias("start"), F.min_by("wealth", "ts").alias("w0"), F.max(F.struct("wealth", (-F.unix_micros("ts")).alias("o"), "ts")).alias("top")
     )
-    return legs.filter(F.col("top.ts") > F.col("from")).select(
-        "series", F.col("from").alias("start"), F.col("top.ts").alias("peak"), (F.try_divide(F.col("top.wealth"), F.col("w0")) - 1).alias("max_runup"), _days(F.col("from"), F.col("top.ts")).alias("days")
+    return out.filter(F.col("top.ts") > F.col("start")).select(
+        "series", "start", F.col("top.ts").alias("peak"), (F.try_divide(F.col("top.wealth"), F.col("w0")) - 1).alias("max_runup"), _days(F.col("start"), F.col("top.ts")).alias("days")
     )
 
 

@@ -99,16 +99,20 @@ register("returns_stats", f"{BASE}, w AS (SELECT series, {_cols} FROM staged GRO
     lambda spark, sf_dir: S.returns_stats(V.returns(spark, sf_dir))
 )
 
+STREAK_CTES = """, s AS (SELECT *, CASE WHEN ret > 0 THEN 1 WHEN ret < 0 THEN -1 ELSE 0 END AS sg FROM staged),
+  i AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - row_number() OVER (PARTITION BY series, sg ORDER BY ts) AS isl FROM s),
+  r AS (SELECT series, sg, isl, count(*) AS n FROM i GROUP BY ALL)"""
 register(
     "streaks",
     BASE
-    + """, s AS (SELECT *, CASE WHEN ret > 0 THEN 1 WHEN ret < 0 THEN -1 ELSE 0 END AS sg FROM staged),
-  i AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - row_number() OVER (PARTITION BY series, sg ORDER BY ts) AS isl FROM s),
-  r AS (SELECT series, sg, isl, count(*) AS n FROM i GROUP BY ALL)
+    + STREAK_CTES
+    + """
 SELECT series, CAST(coalesce(max(n) FILTER (WHERE sg = 1), 0) AS BIGINT) AS consecutive_wins, CAST(coalesce(max(n) FILTER (WHERE sg = -1), 0) AS BIGINT) AS consecutive_losses FROM r GROUP BY series""",
 )(lambda spark, sf_dir: S.streaks(V.returns(spark, sf_dir)))
 
-register("probabilistic_sharpe_ratio")(
+#: Normal distribution function of z: the series of erf.
+CDF = "0.5 * (1 + sign(z) * least(1.0, exp(-z * z / 2) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln(NULLIF(abs(z), 0) / sqrt(2.0)) - lgamma(k + 1.5))))))"
+register("probabilistic_sharpe_ratio", f"{BASE}, zz AS (SELECT series, {SCALAR_SQL['probabilistic_sharpe_z']} AS z FROM staged GROUP BY series) SELECT series, round({CDF}, 8) AS probabilistic_sharpe_ratio FROM zz")(
     lambda spark, sf_dir: staged(V.returns(spark, sf_dir)).groupBy("series").agg(M.probabilistic_sharpe_z().alias("z")).select("series", M.normal_cdf(F.col("z")).alias("probabilistic_sharpe_ratio"))
 )
 
@@ -202,6 +206,15 @@ register("worst_runups", BASE + EPISODES + RUNUPS + " SELECT * FROM (SELECT seri
 )
 
 
-@register("metrics_summary")
+METRICS_SQL = f"""{BASE}, {MONTHLY}, bench AS (SELECT date_trunc('hour', ts) AS ts, avg(ret) AS bench FROM ticks GROUP BY 1), p AS (SELECT r.series, r.ts, r.ret, b.bench FROM returns r JOIN bench b USING (ts)){STREAK_CTES},
+  one AS (SELECT series, min(ts) AS start_ts, max(ts) AS end_ts, {', '.join(f'round({s}, 4) AS {n}' for n, s in SCALAR_SQL.items() if n in M.SCALARS)}, count(ret) AS periods, {SCALAR_SQL['probabilistic_sharpe_z']} AS z FROM staged GROUP BY series),
+  two AS (SELECT series, CAST(coalesce(max(n) FILTER (WHERE sg = 1), 0) AS BIGINT) AS consecutive_wins, CAST(coalesce(max(n) FILTER (WHERE sg = -1), 0) AS BIGINT) AS consecutive_losses FROM r GROUP BY series),
+  three AS (SELECT series, {', '.join((f'round({s}, 4)' if '_months' not in n else s) + f' AS {n}' for n, s in CAL_STATS.items() if 'year' not in n)} FROM m GROUP BY series),
+  four AS (SELECT series, {', '.join(f'round({s}, 4) AS {n}' for n, s in CAL_STATS.items() if 'year' in n)} FROM yy GROUP BY series),
+  five AS (SELECT series, {', '.join(f'round({s}, 4) AS {n}' for n, s in RELATIVE_SQL.items())} FROM p GROUP BY series)
+SELECT one.* EXCLUDE (z), round({CDF}, 4) AS probabilistic_sharpe_ratio, two.* EXCLUDE (series), three.* EXCLUDE (series), four.* EXCLUDE (series), five.* EXCLUDE (series) FROM one JOIN two USING (series) JOIN three USING (series) JOIN four USING (series) JOIN five USING (series)"""
+
+
+@register("metrics_summary", METRICS_SQL, 4)
 def metrics_summary(spark, sf_dir) -> DataFrame:
     return S.metrics_bundle(V.returns(spark, sf_dir), V.benchmark(spark, sf_dir))

@@ -73,22 +73,22 @@ register(
 )(lambda s, d: N.synthetic_nav(V.nav(s, d)))
 
 
-def _sparse_nav(s, d) -> DataFrame:
-    return V.nav(s, d).filter("day(ts) % 5 = 0")
+def _late_flows(s, d) -> DataFrame:
+    """Flows half a day after NAV dates, so that each goes to a later one."""
+    return V.flows(s, d).withColumn("ts", F.col("ts") + F.expr("INTERVAL 12 HOURS"))
 
 
-_sparse = V.with_ctes(V.SQL_NAV, V.SQL_FLOWS, "sn AS (SELECT * FROM nav WHERE day(ts) % 5 = 0)")
-_asof = ", att AS (SELECT f.account, (SELECT min(s.ts) FROM sn s WHERE s.account = f.account AND s.ts >= f.ts) AS nts, f.amount, f.flow_type FROM flows f)"
-register("asof_flows", _sparse + _asof + " SELECT account, nts AS ts, round(sum(amount), 4) AS amount FROM att WHERE nts IS NOT NULL GROUP BY 1, 2", 4)(lambda s, d: N.attribute_to_next(V.flows(s, d), _sparse_nav(s, d)))
+_late = V.with_ctes(V.SQL_NAV, V.SQL_FLOWS) + ", late AS (SELECT account, ts + INTERVAL 12 HOUR AS ts, flow_type, amount FROM flows), att AS (SELECT f.account, n.ts AS nts, f.amount, f.flow_type FROM late f ASOF JOIN nav n ON f.account = n.account AND f.ts <= n.ts)"
+register("asof_flows", _late + " SELECT account, nts AS ts, round(sum(amount), 4) AS amount FROM att GROUP BY 1, 2", 4)(lambda s, d: N.attribute_to_next(_late_flows(s, d), V.nav(s, d)))
 register(
     "signed_flows",
-    _sparse + _asof + ", g AS (SELECT account, nts AS ts, sum(CASE flow_type WHEN 'INJECTION' THEN amount ELSE -amount END) AS flow FROM att WHERE nts IS NOT NULL GROUP BY 1, 2) SELECT s.account, s.ts, round(coalesce(g.flow, 0), 4) AS flow FROM sn s LEFT JOIN g USING (account, ts)",
+    _late + ", g AS (SELECT account, nts AS ts, sum(CASE flow_type WHEN 'INJECTION' THEN amount ELSE -amount END) AS flow FROM att GROUP BY 1, 2) SELECT s.account, s.ts, round(coalesce(g.flow, 0), 4) AS flow FROM nav s LEFT JOIN g USING (account, ts)",
     4,
-)(lambda s, d: N.signed_flows(V.flows(s, d), _sparse_nav(s, d)))
+)(lambda s, d: N.signed_flows(_late_flows(s, d), V.nav(s, d)))
 register(
     "per_share_dist",
-    _sparse + _asof + ", g AS (SELECT account, nts AS ts, sum(amount) AS a FROM att WHERE nts IS NOT NULL AND flow_type = 'DISTRIBUTION' GROUP BY 1, 2) SELECT account, ts, round(a / (nav / 1000), 8) AS dist_per_share FROM g JOIN sn USING (account, ts)",
-)(lambda s, d: N.per_share_distributions(V.flows(s, d), _sparse_nav(s, d).select("account", "ts", (F.col("nav") / 1000).alias("shares"))))
+    _late + ", g AS (SELECT account, nts AS ts, sum(amount) AS a FROM att WHERE flow_type = 'DISTRIBUTION' GROUP BY 1, 2) SELECT account, ts, round(a / (nav / 1000), 8) AS dist_per_share FROM g JOIN nav USING (account, ts)",
+)(lambda s, d: N.per_share_distributions(_late_flows(s, d), V.nav(s, d).select("account", "ts", (F.col("nav") / 1000).alias("shares"))))
 
 # --- portfolios -----------------------------------------------------------------------------------------
 register("portfolio_equal", RETS + "SELECT 'portfolio' AS series, ts, round(sum(ret) / (SELECT count(DISTINCT series) FROM returns), 8) AS ret FROM returns GROUP BY ts")(lambda s, d: PF.combine(V.returns(s, d)))
@@ -180,15 +180,53 @@ register("drift", " UNION ALL ".join(_drift_sql(c).replace("round(sum(d * g), 6)
     lambda s, d: E.drift(*[x.select("l_quantity", "l_discount") for x in _two_periods(s, d)])
 )
 ORACLES["drift"] = ORACLES["drift"].replace(", 7)", ", 5)")
-register("ks_p_values", None, 6)(lambda s, d: E.with_ks_p(E.drift(*_two_periods(s, d))).select("column", "ks_stat", "ks_p"))
+_x = "ks_stat * sqrt(n_a * n_b / (n_a + n_b))"
+_low = f"greatest(0, 1 - sqrt(2 * pi()) / ({_x}) * list_sum(list_transform(range(1, 20), lambda k: exp(-pow(pi() / ({_x}), 2) / 8 * pow(2 * k - 1, 2)))))"
+_high = f"least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1, k - 1) * exp(-2 * pow(k * {_x}, 2))))))"
+register(
+    "ks_p_values",
+    "WITH dr AS (" + " UNION ALL ".join(_drift_sql(c).replace("round(max(d), 7)", "max(d)") for c in ("l_quantity", "l_extendedprice", "l_discount")) + f""")
+SELECT "column", round(ks_stat, 6) AS ks_stat, round((CASE WHEN {_x} < 1e-3 THEN 1.0 WHEN {_x} < 0.6 THEN {_low} ELSE {_high} END)::DOUBLE, 6) AS ks_p FROM dr""",
+    6,
+)(lambda s, d: E.with_ks_p(E.drift(*_two_periods(s, d))).select("column", "ks_stat", "ks_p"))
 register(
     "target_shift",
     "WITH x AS (SELECT *, l_shipdate < TIMESTAMP '1998-01-01' AS a FROM lineitem) SELECT \"column\", corr_a, corr_b, round(cb - ca, 8) AS delta FROM ("
     + " UNION ALL ".join(f"""SELECT '{c}' AS "column", corr({c}, l_extendedprice) FILTER (WHERE a) AS ca, corr({c}, l_extendedprice) FILTER (WHERE NOT a) AS cb, round(corr({c}, l_extendedprice) FILTER (WHERE a), 8) AS corr_a, round(corr({c}, l_extendedprice) FILTER (WHERE NOT a), 8) AS corr_b FROM x""" for c in ("l_quantity", "l_discount"))
     + ")",
 )(lambda s, d: E.target_shift(*_two_periods(s, d), "l_extendedprice", ["l_quantity", "l_discount"]))
-register("profile_alerts", None, 6)(lambda s, d: E.profile_alerts(E.column_stats(_lines(s, d)), E.column_modes(_lines(s, d).select(*_txt)), E.pearson(_lines(s, d))))
-register("compare_alerts", None, 6)(lambda s, d: E.compare_alerts(E.drift(*_two_periods(s, d)), ["l_quantity", "l_old"], ["l_quantity", "l_new"]))
+register(
+    "profile_alerts",
+    """WITH s AS (SELECT 'documents' AS source, 'n_chars' AS c, stddev_samp(n_chars) AS sd, skewness(n_chars) AS sk, kurtosis(n_chars) AS ku, count(*) FILTER (WHERE n_chars = 0) * 100.0 / count(*) AS ze, (count(*) - count(n_chars)) * 100.0 / count(*) AS mi FROM documents
+  UNION ALL SELECT 'labels', 'quality', stddev_samp(quality), skewness(quality), kurtosis(quality), count(*) FILTER (WHERE quality = 0) * 100.0 / count(*), (count(*) - count(quality)) * 100.0 / count(*) FROM labels
+  UNION ALL SELECT 'labels', 'toxic', stddev_samp(toxic), skewness(toxic), kurtosis(toxic), count(*) FILTER (WHERE toxic = 0) * 100.0 / count(*), (count(*) - count(toxic)) * 100.0 / count(*) FROM labels)
+SELECT source, c AS "column", alert, round(value, 5) AS value FROM (SELECT source, c, unnest([struct_pack(alert := 'zero_variance', value := CASE WHEN sd = 0 THEN sd END), struct_pack(alert := 'missing', value := CASE WHEN mi > 30 THEN mi END), struct_pack(alert := 'zeros', value := CASE WHEN ze > 50 THEN ze END),
+  struct_pack(alert := 'skewed', value := CASE WHEN abs(sk) > 2 THEN sk END), struct_pack(alert := 'heavy_tails', value := CASE WHEN abs(ku) > 7 THEN ku END)], recursive := true) FROM s) WHERE value IS NOT NULL""",
+    5,
+)(lambda s, d: _alerts(s, d, "documents", "n_chars").unionByName(_alerts(s, d, "labels", "quality", "toxic")))
+
+
+def _alerts(s, d, name: str, *columns: str) -> DataFrame:
+    t = V.read(s, d, name).select(*columns)
+    return E.profile_alerts(E.column_stats(t)).select(F.lit(name).alias("source"), "column", "alert", "value")
+
+
+def _parties(s, d) -> tuple[DataFrame, DataFrame]:
+    a = V.read(s, d, "customer").select(F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return a, V.read(s, d, "supplier").select((F.col("s_acctbal") * 3).alias("balance"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+
+
+def _party_sql(c: str, x: str, y: str) -> str:
+    return f"""SELECT '{c}' AS c, max(abs(d)) AS ks, (SELECT (avg({y}) - (SELECT avg({x}) FROM customer)) / (SELECT stddev_samp({x}) FROM customer) FROM supplier) AS shift FROM (SELECT sum(na) OVER (ORDER BY x) / (SELECT count(*) FROM customer) - sum(nb) OVER (ORDER BY x) / (SELECT count(*) FROM supplier) AS d FROM (SELECT x, sum(w) AS na, sum(1 - w) AS nb FROM (SELECT {x} AS x, 1 AS w FROM customer UNION ALL SELECT {y}, 0 FROM supplier) GROUP BY x))"""
+
+
+register(
+    "compare_alerts",
+    f"""WITH s AS ({_party_sql('balance', 'c_acctbal', 's_acctbal * 3')} UNION ALL {_party_sql('nation', 'c_nationkey', 's_nationkey')})
+SELECT 'segment' AS "column", 'column_removed' AS alert, CAST(NULL AS DOUBLE) AS value UNION ALL SELECT 'name', 'column_added', NULL
+UNION ALL SELECT c, 'distribution_drift', round(ks, 5) FROM s WHERE ks > 0.2 UNION ALL SELECT c, 'mean_shift', round(shift, 5) FROM s WHERE abs(shift) > 1""",
+    5,
+)(lambda s, d: E.compare_alerts(E.drift(*_parties(s, d)), _parties(s, d)[0].columns, _parties(s, d)[1].columns))
 register(
     "histogram",
     RETS + ", e AS (SELECT min(ret) AS a, max(ret) AS b FROM returns) SELECT CAST(least(floor((ret - a) / ((b - a) / 60)), 59) AS INTEGER) AS bin, count(*) AS n FROM returns, e GROUP BY 1",
@@ -235,10 +273,6 @@ SELECT xs.asset, xs.ts, round(rec.v, 6) AS {col} FROM xs LEFT JOIN rec USING (as
 
 register("ind_ema", _recursive("ema", 20, "(2.0 / 21)", "close"), 6)(lambda s, d: I.indicator("ema", V.bars(s, d)))
 register("wilder_atr", _recursive("atr", 14, "(1.0 / 14)", "coalesce(greatest(high - low, abs(high - pc), abs(low - pc)), high - low)"), 6)(lambda s, d: I.wilder_atr(V.bars(s, d), 14))
-for _n in ("rsi", "macd", "adx", "cci"):
-    register(f"ind_{_n}", None, 6)(lambda s, d, n=_n: I.indicator(n, V.bars(s, d)))
-register("feature_pipeline", None, 6)(lambda s, d: I.FeaturePipeline([("fast", "sma", {"n": 5}), ("bands", "bbands", {"n": 20})]).transform(V.bars(s, d)))
-
 # --- event study ----------------------------------------------------------------------------------------
 H = ST.HORIZONS
 STUDY = V.with_ctes(V.SQL_TICKS, V.SQL_BARS, V.SQL_EVENTS).replace("WITH ", "WITH RECURSIVE ", 1) + """, nb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS pos, count(*) OVER (PARTITION BY asset) AS cnt, lag(close) OVER (PARTITION BY asset ORDER BY ts) AS pc FROM bars),
@@ -279,7 +313,19 @@ register(
     STUDY + ", mv AS (SELECT b.asset, hz.horizon, CASE WHEN c.close > b.close THEN 1.0 ELSE 0 END AS up FROM nb b CROSS JOIN hz JOIN nb c ON c.asset = b.asset AND c.pos = b.pos + hz.horizon), sh AS (SELECT asset, horizon, avg(up) AS p FROM mv GROUP BY ALL), ne AS (SELECT asset, count(*) AS n FROM ev GROUP BY asset) SELECT CAST(horizon AS INTEGER) AS horizon, round(sum(p * n) / sum(n), 6) AS baseline_hit FROM sh JOIN ne USING (asset) GROUP BY horizon",
     6,
 )(lambda s, d: ST.baseline_hit(V.study_events(s, d), V.bars(s, d)))
-register("study_evaluate", None, 6)(lambda s, d: ST.evaluate(V.study_events(s, d), V.bars(s, d)))
+_yr = "horizon, date_trunc('year', breakout_ts)"
+register(
+    "study_evaluate",
+    STUDY
+    + f""", pm AS (SELECT horizon, {PM} FROM paths GROUP BY horizon), r AS (SELECT horizon, {_rank.format(k='horizon', c='quality')} AS rq, {_rank.format(k='horizon', c='fwd')} AS rf FROM paths),
+  ic AS (SELECT horizon, round(CASE WHEN count(*) >= 5 THEN corr(rq, rf) END, 6) AS ic FROM r GROUP BY horizon),
+  ry AS (SELECT horizon, date_trunc('year', breakout_ts) AS p, {_rank.format(k=_yr, c='quality')} AS rq, {_rank.format(k=_yr, c='fwd')} AS rf FROM paths), iy AS (SELECT horizon, p, corr(rq, rf) AS ic FROM ry GROUP BY ALL HAVING count(*) >= 5),
+  ir AS (SELECT horizon, round(CASE WHEN count(*) >= 3 THEN avg(ic) / NULLIF(stddev_pop(ic), 0) END, 6) AS icir FROM iy WHERE ic IS NOT NULL AND NOT isnan(ic) GROUP BY horizon),
+  mv AS (SELECT b.asset, hz.horizon, CASE WHEN c.close > b.close THEN 1.0 ELSE 0 END AS up FROM nb b CROSS JOIN hz JOIN nb c ON c.asset = b.asset AND c.pos = b.pos + hz.horizon), sh AS (SELECT asset, horizon, avg(up) AS p FROM mv GROUP BY ALL), ne AS (SELECT asset, count(*) AS n FROM ev GROUP BY asset),
+  bh AS (SELECT horizon, round(sum(p * n) / sum(n), 6) AS baseline_hit FROM sh JOIN ne USING (asset) GROUP BY horizon)
+SELECT CAST(pm.horizon AS INTEGER) AS horizon, pm.* EXCLUDE (horizon), ic.ic, ir.icir, bh.baseline_hit FROM pm LEFT JOIN ic USING (horizon) LEFT JOIN ir USING (horizon) LEFT JOIN bh USING (horizon)""",
+    6,
+)(lambda s, d: ST.evaluate(V.study_events(s, d), V.bars(s, d)))
 register("study_per_asset", STUDY + f" SELECT asset, {PM} FROM paths WHERE horizon = 20 GROUP BY asset", 6)(lambda s, d: ST.per_asset(V.study_events(s, d), V.bars(s, d)))
 register(
     "study_buckets",
