@@ -7,6 +7,9 @@ lost executor costs recomputation of its tasks only.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -14,6 +17,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +49,21 @@ def keep_cache(owner: str, clear: Callable[[], None]) -> None:
     _CACHES[owner] = clear
 
 
+_OWNER = [""]
+
+
 def claim(owner: str) -> None:
-    """Empty the caches of all other operators: workers live longer than a stage."""
+    """Empty the caches of all other operators and give their memory back: workers live longer than a stage."""
+    if _OWNER[0] == owner:
+        return
+    _OWNER[0] = owner
     for name, clear in _CACHES.items():
         if name != owner:
             clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,8 +80,20 @@ def crc_mod(col: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes: ten thousand long texts at once are too much for a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = (spark.conf.get(name) or "").rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is set (tests) a local one is made."""
+    bounded_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()

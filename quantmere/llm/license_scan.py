@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, WORD_TABLE, to_bytes
+from .common import LOWER_TABLE, WORD_TABLE, bounded_batches, to_bytes
 
 #: Fixed values of the base: phrases, their words consecutive, and labels.
 BASE_PHRASES = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
@@ -397,5 +397,6 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
+    bounded_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.select(id_col).schema[0].dataType))

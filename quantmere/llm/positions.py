@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_array, put_array, saved, shared_path
+from .common import claim, get_array, put_array, saved, shared_path
 
 ROWS = 20  # 2^20 rows of a file share an array
 HELD = 8  # arrays that a task keeps at hand
@@ -67,6 +67,7 @@ def mark_column(folder: str, file: Column, row: Column, default: int = 0) -> Col
     """The value of each row, ``default`` where it has none."""
 
     def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        claim("positions")
         held: dict[tuple[int, int], np.ndarray] = {}
 
         def array(key: tuple[int, int]) -> np.ndarray:

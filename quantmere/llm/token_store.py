@@ -271,8 +271,8 @@ class PieceTable:
 
     def clear(self) -> None:
         self.keys = np.zeros(4 * self.most, np.uint64)
-        self.start = np.zeros(4 * self.most, np.int64)
-        self.count = np.zeros(4 * self.most, np.int64)
+        self.start = np.zeros(4 * self.most, np.int32)
+        self.count = np.zeros(4 * self.most, np.int32)
         self.again = np.zeros(4 * self.most, bool)
         self.n = self.used = 0
         self.flat = np.zeros(4 * self.most, np.uint32)  # ids, piece by piece
@@ -316,7 +316,7 @@ class PieceTable:
 
     def shrink(self) -> None:
         stay = np.flatnonzero(self.again & (self.keys != 0))[: self.most // 2]
-        keys, start, count, flat = self.keys[stay], self.start[stay], self.count[stay], self.flat
+        keys, start, count, flat = self.keys[stay], self.start[stay].astype(np.int64), self.count[stay].astype(np.int64), self.flat
         self.clear()
         at = self.append(flat[np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())])
         self.put(keys, at + np.cumsum(count) - count, count)
@@ -423,7 +423,7 @@ class Encoder:
         keys = self.hashes(data, starts, ends)
         slot = known.find(keys)
         known.again[slot[slot >= 0]] = True
-        start, count = known.start[slot], known.count[slot]
+        start, count = known.start[slot].astype(np.int64), known.count[slot].astype(np.int64)
         lacking = np.flatnonzero(slot < 0)
         if len(lacking):
             # longer pieces are told apart by place, not by hash
