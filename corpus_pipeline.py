@@ -9,11 +9,10 @@ the stages' operators define.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quantmere.llm.common import shared_path, table
 from quantmere.llm.decontamination import remove_contaminated
-from quantmere.llm.mixing import mix_sources
+from quantmere.llm.mixing import mixed_documents
 from quantmere.llm.near_dedup import keep_one
 from quantmere.llm.queries import tokenizer_path
 from quantmere.llm.token_store import token_table
@@ -38,23 +37,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes them.
-
-    The mix takes words in blocks; a document stands once for each whole pass
-    and, if the blocks beyond hold the share p of its words, once more with
-    probability p by a seeded hash of the row.  Documents without words, of which
-    nothing can be taken, go.
-    """
-    row = F.xxhash64("doc_id", "text", "source")
-    mixed = mix_sources(docs.select("doc_id", "text", "source", row.alias("row")), extra=("row",), seed=MIX_SEED)
-    share = F.try_divide(F.col("taken") - F.col("repeats") * F.col("size"), F.col("size"))
-    draw = F.pmod(F.xxhash64(F.lit(MIX_SEED + 3), "row"), F.lit(1 << 30)) / float(1 << 30)
-    times = F.col("repeats") + (draw < F.coalesce(share, F.lit(0.0))).cast("long")
-    copies = mixed.filter("size > 0").select("row", times.alias("times")).groupBy("row").agg(F.sum("times").alias("__times"))
-    copies = copies.filter("__times > 0").withColumnRenamed("row", "__row")
-    # equal rows share their copies: one of them carries the sum
-    joined = docs.withColumn("__row", row).join(copies, "__row").dropDuplicates(["__row"])
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
+    """Whole documents, as often as the mix takes them; documents without words, of which nothing can be taken, go."""
+    return mixed_documents(docs, seed=MIX_SEED)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
