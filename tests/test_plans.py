@@ -88,7 +88,7 @@ def test_every_indicator_keeps_the_bars(bars, name):
 def test_recursive_indicators_by_their_definitions(spark):
     n = 60
     close = 100 + np.cumsum(np.sin(np.arange(n)))
-    rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(days=k), "A", float(c), float(c + 1), float(c - 1), float(c), 1000.0) for k, c in enumerate(close)]
+    rows = [((pd.Timestamp("2024-01-01") + pd.Timedelta(days=k)).to_pydatetime(), "A", float(c), float(c + 1), float(c - 1), float(c), 1000.0) for k, c in enumerate(close)]
     bars = spark.createDataFrame(rows, "ts timestamp, asset string, open double, high double, low double, close double, volume double")
     kama = I.indicator("kama", bars).orderBy("ts").toPandas()["kama"].to_numpy()
     value = close[9]
