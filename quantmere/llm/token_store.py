@@ -14,7 +14,6 @@ document offsets, then for every level its packed chunks, bitmap and ranks.
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 import zlib
@@ -183,8 +182,8 @@ class TokenFile:
 
 _TOKENIZERS: dict[str, Encoder] = {}
 keep_cache("tokens", _TOKENIZERS.clear)
-CALL_BYTES = 1 << 19  # of texts encoded together
-KNOWN = 1 << 19  # pieces whose ids are kept
+CALL_BYTES = 1 << 18  # of texts encoded together
+KNOWN = 1 << 18  # pieces whose ids are kept
 LONGEST = 64  # bytes of a piece whose ids are kept
 BASE = 0x9E3779B97F4A7C15  # of the polynomial hash; odd, so that it has an inverse
 
@@ -338,14 +337,11 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        with open(path, encoding="utf-8") as src:
-            spec = json.load(src)
-        pre = spec.get("pre_tokenizer") or {}
-        added = spec.get("added_tokens", [])
-        #: Whether pieces may be encoded apart.
-        self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.apart = self.apart and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in added)
         self.whole = Tokenizer.from_file(path)
+        pre, added = self.whole.pre_tokenizer, self.whole.get_added_tokens_decoder()
+        #: Whether pieces may be encoded apart.
+        self.apart = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.whole.normalizer is None
+        self.apart = self.apart and not any(" " in t.content or t.lstrip or t.rstrip for t in added.values())
         self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = WhitespaceSplit()
         if self.apart:
@@ -353,8 +349,8 @@ class Encoder:
             self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
             for token, k in vocab.items():
                 self.lengths[k] = len(token)
-            for t in added:
-                self.lengths[t["id"]] = len(t["content"].encode())
+            for k, t in added.items():
+                self.lengths[k] = len(t.content.encode())
             self.known = PieceTable(KNOWN)
             self.power = self.inverse = np.ones(1, np.uint64)
 
