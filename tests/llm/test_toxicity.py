@@ -162,3 +162,16 @@ def test_bytes_are_filled_by_hash(spark):
 
 def test_what_does_not_fit_is_passed_over():
     assert T.fitting([5, 100, 3, 0, 4], [1, 1, 2, 3, 1], 14) == [1, 0, 2, 3, 0]
+
+
+def test_every_labelled_row_teaches(spark):
+    docs = spark.range(16_000).selectExpr("id AS doc_id", "concat('w', id % 97, ' x', id % 13, if(id % 16 = 3, ' grimsod', ''), ' y', id % 7) AS text", "if(id % 3 = 0, null, 'en') AS lang")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 16 = 3 AS INT) AS toxic")
+    c = T.CnnConfig(buckets=1 << 12, epochs=2, steps=1)
+    m = T.fit_toxicity(docs, labels, c)
+    used = labels.filter(crc_mod("doc_id", 5) != 0).selectExpr("toxic", f"pmod(xxhash64({c.seed}, doc_id), 5) = 0 AS held").toPandas()
+    assert m.prior == pytest.approx(used.toxic[~used.held].mean(), abs=1e-12)  # of all rows, not of a sample
+    again = T.fit_toxicity(docs.orderBy(docs.doc_id.desc()), labels, c)
+    assert (m.embed == again.embed).all() and m.thresholds == again.thresholds and set(m.thresholds) == {"", "en"}
+    p = m.score_texts(["w1 x2 grimsod y3", "w1 x2 y3"])
+    assert p[0] > 0.9 and p[1] < 0.1
