@@ -3,7 +3,8 @@
 Pages of one host are dealt into groups of about ``GROUP`` pages.  Within a
 group every page's DOM tree is aligned with those of reference pages, two of the
 whole group and two of each layout in it, by simple tree matching (the largest
-top-down, order-keeping mapping of equal tags).  Nodes
+top-down, order-keeping mapping of equal tags and marks, found exactly on pages of any
+width and depth).  Nodes
 whose text is the same on most aligned pages are template and their text goes.
 Markup is used on every page as well: menus, headers, footers, asides, forms,
 scripts and hidden elements are dropped always, and an <article> or <main>
@@ -15,11 +16,12 @@ that isn't template, or more than ``MOST`` of that text, is content.
 
 from __future__ import annotations
 
-import bisect
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from .common import saved
 
 GROUP = 48
 GROUP_BYTES = 16 << 20  # of pages that are held and aligned together
-CELLS = 60_000  # of the tables of a pair of pages
-AHEAD = 16  # children that may be passed over where no table is filled
+SMALL = 300  # cells of a table that plain lists hold faster than arrays, with the same values
+SIZES = 500_000  # of matchings that are kept for other pages
 #: Pages are of one layout if they share this part of their tag paths.
 SAME_LAYOUT = 0.5
 #: An element with more than this part of a page's text that isn't template is content whatever its class says.
@@ -161,95 +163,154 @@ def parse(page: str) -> Node:
     return root
 
 
-def signature(node: Node) -> int:
-    """Hash of the subtree's tags."""
-    stack = [(node, False)]
-    while stack:
-        x, done = stack.pop()
-        if done:
-            x.sig = hash((x.tag, *[k.sig for k in x.kids]))
-        else:
-            stack.append((x, True))
-            stack += [(k, False) for k in x.kids]
-    return node.sig
-
+class Kinds:
+    """Numbers of subtrees, equal where tags and marks are all the way down, and the matchings between them."""
 
-def matching(a: Node, b: Node, memo: dict, depth: int = 0) -> tuple[int, list]:
-    """Simple tree matching: (size, aligned child pairs) of the best mapping of two nodes of equal tags.
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.like: list[tuple] = []  # tag and marks of the root
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []  # nodes
+        self.found: dict[tuple[int, int], int] = {}
 
-    Children of equal subtrees at both ends are paired first.  The table of the
-    others is filled only while ``CELLS`` of a pair of pages last; wider lists are
-    paired in order, each child with the next one like it.
-    """
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
-    ka, kb = a.kids, b.kids
-    pairs, size = [], 1
-    lo = 0
-    while lo < min(len(ka), len(kb)) and ka[lo].sig == kb[lo].sig:
-        pairs.append((ka[lo], kb[lo]))
-        lo += 1
-    hi = 0
-    while hi < min(len(ka), len(kb)) - lo and ka[-1 - hi].sig == kb[-1 - hi].sig:
-        pairs.append((ka[-1 - hi], kb[-1 - hi]))
-        hi += 1
-    size += len(pairs)
-    xs, ys = ka[lo : len(ka) - hi], kb[lo : len(kb) - hi]
-    memo["cells"] = memo.get("cells", CELLS) - len(xs) * len(ys)
-    if xs and ys and (memo["cells"] < 0 or depth >= 200):
-        more = _in_order(xs, ys)
-        pairs += more
-        size += len(more)
-    elif xs and ys:
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, x in enumerate(xs, 1):
-            row, above = best[i], best[i - 1]
-            for j, y in enumerate(ys, 1):
-                top = row[j - 1] if row[j - 1] > above[j] else above[j]
-                if x.tag == y.tag and x.named == y.named and x.dropped == y.dropped:
-                    w = above[j - 1] + (matching(x, y, memo, depth + 1)[0] if x.kids and y.kids else 1)
-                    top = w if w > top else top
-                row[j] = top
+    def number(self, root: Node) -> None:
+        stack = [(root, False)]
+        while stack:
+            x, done = stack.pop()
+            if not done:
+                stack.append((x, True))
+                stack += [(k, False) for k in x.kids]
+                continue
+            like, kids = (x.tag, x.named, x.dropped), tuple([k.sig for k in x.kids])
+            x.sig = self.known.setdefault((like, kids), len(self.size))
+            if x.sig == len(self.size):
+                self.like.append(like)
+                self.kids.append(kids)
+                self.size.append(1 + sum(self.size[k] for k in kids))
+
+    def differing(self, a: int, b: int) -> tuple[int, int]:
+        """How many children at both ends are equal; the largest mapping pairs these."""
+        ka, kb = self.kids[a], self.kids[b]
+        most, lo, hi = min(len(ka), len(kb)), 0, 0
+        while lo < most and ka[lo] == kb[lo]:
+            lo += 1
+        while hi < most - lo and ka[-1 - hi] == kb[-1 - hi]:
+            hi += 1
+        return lo, hi
+
+    def weight(self, a: int, b: int) -> int:
+        """Nodes of the largest mapping of two subtrees, 0 if their roots differ."""
+        if a == b:
+            return self.size[a]
+        if self.like[a] != self.like[b]:
+            return 0
+        return self.found[a, b] if self.kids[a] and self.kids[b] else 1
+
+    def middle(self, a: int, b: int) -> tuple[int, int, tuple, tuple]:
+        lo, hi = self.differing(a, b)
+        return lo, hi, self.kids[a][lo : len(self.kids[a]) - hi], self.kids[b][lo : len(self.kids[b]) - hi]
+
+    def matching(self, a: int, b: int) -> int:
+        """Simple tree matching of two kinds with equal roots: the largest top-down, order-keeping mapping."""
+        if a == b:
+            return self.size[a]
+        stack = [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if (x, y) in self.found:
+                stack.pop()
+                continue
+            lo, hi, xs, ys = self.middle(x, y)
+            alike: dict[tuple, list[int]] = {}
+            for q in set(ys):
+                if self.kids[q]:
+                    alike.setdefault(self.like[q], []).append(q)
+            missing = [(p, q) for p in set(xs) if self.kids[p] for q in alike.get(self.like[p], ()) if p != q and (p, q) not in self.found]
+            if missing:
+                stack += missing
+                continue
+            row, step = self.rows(xs, ys)
+            for p in xs if ys else ():
+                row = step(row, p)
+            ends = self.kids[x][:lo] + self.kids[x][len(self.kids[x]) - hi :]
+            self.found[x, y] = 1 + sum(self.size[k] for k in ends) + int(row[-1])
+            stack.pop()
+        return self.found[a, b]
+
+    def rows(self, xs: tuple, ys: tuple) -> tuple[list | np.ndarray, Callable]:
+        """The first row of the table of two lists, and what makes the next row from a row and the next of ``xs``."""
+        kinds, at = np.unique(np.array(ys, np.int64), return_inverse=True) if len(xs) * len(ys) > SMALL else (sorted(set(ys)), None)
+        kinds, weights = [int(q) for q in kinds], {}
+
+        def weights_of(p: int):
+            if p not in weights:
+                weights[p] = [self.weight(p, q) for q in kinds]
+                weights[p] = dict(zip(kinds, weights[p], strict=True)) if at is None else np.array(weights[p], np.int64)
+            return weights[p]
+
+        def plain(row: list[int], p: int) -> list[int]:
+            own, out, last = weights_of(p), [0], 0
+            for j, q in enumerate(ys):
+                w = row[j] + own[q]
+                last = max(last, row[j + 1], w)
+                out.append(last)
+            return out
+
+        def wide(row: np.ndarray, p: int) -> np.ndarray:
+            out = np.zeros_like(row)
+            np.maximum(row[1:], row[:-1] + weights_of(p)[at], out=out[1:])
+            return np.maximum.accumulate(out, out=out)
+
+        return ([0] * (len(ys) + 1), plain) if at is None else (np.zeros(len(ys) + 1, np.int64), wide)
+
+    def pairs(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Numbers of the children that the largest mapping pairs.
+
+        Some rows of the table are kept and those between made again on the way
+        back, so that memory grows with the root of its length.
+        """
+        lo, hi, xs, ys = self.middle(a, b)
+        na, nb = len(self.kids[a]), len(self.kids[b])
+        out = [(k, k) for k in range(lo)] + [(na - 1 - k, nb - 1 - k) for k in range(hi)]
+        if not xs or not ys:
+            return out
+        row, step = self.rows(xs, ys)
+        every, held = isqrt(len(xs)) + 1, []
+        for k, p in enumerate(xs):
+            if k % every == 0:
+                held.append(row)
+            row = step(row, p)
         i, j = len(xs), len(ys)
-        size += best[i][j]
         while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                pairs.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-    memo[key] = (size, pairs)
-    return memo[key]
-
-
-def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """Order-keeping pairs of like children: of those with equal subtrees if there are such ahead, else of equal tags."""
-    exact, like = {}, {}
-    for j, y in enumerate(ys):
-        exact.setdefault(y.sig, []).append(j)
-        like.setdefault((y.tag, y.named, y.dropped), []).append(j)
-    pairs, at = [], 0
-    for x in xs:
-        for places in (exact.get(x.sig, []), like.get((x.tag, x.named, x.dropped), [])):
-            k = bisect.bisect_left(places, at)
-            if k < len(places) and places[k] < at + AHEAD:
-                pairs.append((x, ys[places[k]]))
-                at = places[k] + 1
-                break
-    return pairs
-
-
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+            start = (i - 1) // every * every
+            block = [held.pop()]
+            for p in xs[start:i]:
+                block.append(step(block[-1], p))
+            while i > start and j:
+                here, above = block[i - start], block[i - start - 1]
+                if here[j] == above[j]:
+                    i -= 1
+                elif here[j] == here[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((lo + i, lo + j))
+        return out
+
+
+def align(kinds: Kinds, a: Node, b: Node) -> list[tuple[Node, Node]]:
     """All aligned node pairs of two pages."""
-    memo: dict = {}
+    if len(kinds.found) > SIZES:
+        kinds.found.clear()
+    kinds.matching(a.sig, b.sig)
     out, stack = [], [(a, b)]
     while stack:
         x, y = stack.pop()
         out.append((x, y))
-        stack += matching(x, y, memo)[1]
+        if x.sig == y.sig:
+            stack += zip(x.kids, y.kids, strict=True)
+        elif x.kids and y.kids:
+            stack += [(x.kids[i], y.kids[j]) for i, j in kinds.pairs(x.sig, y.sig)]
     return out
 
 
@@ -288,21 +349,22 @@ def induce(pages: list[Node]) -> None:
     pages = [p for p in pages if p.parts]
     if len(pages) < 3:
         return
+    kinds = Kinds()
     for p in pages:
-        signature(p)
+        kinds.number(p)
     for group in layouts(pages):
-        pairs = _mark_template(group)
+        pairs = _mark_template(kinds, group)
         reached = [{id(y) for _, y in aligned} for aligned in pairs]
         missed = [sum(bool(x.own_text()) for x in _all(p) if id(x) not in ids) for p, ids in zip(group[1:], reached, strict=True)]
         if max(missed):
             second = missed.index(max(missed)) + 1
-            _mark_template([group[second], *group[:second], *group[second + 1 :]])
+            _mark_template(kinds, [group[second], *group[:second], *group[second + 1 :]])
 
 
-def _mark_template(pages: list[Node]) -> list[list[tuple[Node, Node]]]:
+def _mark_template(kinds: Kinds, pages: list[Node]) -> list[list[tuple[Node, Node]]]:
     """Mark what the first page shows to be template; its alignments with the others."""
     ref = pages[0]
-    pairs = [align(ref, p) for p in pages[1:]]
+    pairs = [align(kinds, ref, p) for p in pages[1:]]
     seen: dict[int, list[int]] = {}
     texts: dict[int, str] = {}
 

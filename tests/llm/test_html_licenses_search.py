@@ -271,3 +271,55 @@ def test_search_edges(spark):
     assert S.top_k(df.filter("vec_id = 2"), df.filter("vec_id = 2")).count() == 0
     big = spark.createDataFrame([(1, [4e9, 1.0]), (2, [4e9, -1.0]), (3, [4e9, 3.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in S.top_k(big, big.filter("vec_id = 1"), scale=1).orderBy("rank").collect()] == [3, 2]
+
+
+def plain_matching(a, b):
+    """Nodes of the largest top-down, order-keeping mapping, by the definition."""
+    if (a.tag, a.named, a.dropped) != (b.tag, b.named, b.dropped):
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def checked(kinds, a, b):
+    """The aligned pairs, after checking that they are a top-down, order-keeping mapping."""
+    pairs = H.align(kinds, a, b)
+    mapped = {id(x): y for x, y in pairs}
+    assert len({id(y) for _, y in pairs}) == len(mapped) == len(pairs)
+    for x, y in pairs:
+        places = {id(k): i for i, k in enumerate(y.kids)}
+        own = [places[id(mapped[id(k)])] for k in x.kids if id(k) in mapped]
+        assert (x.tag, x.named, x.dropped) == (y.tag, y.named, y.dropped) and own == sorted(own)
+    return pairs
+
+
+@pytest.mark.parametrize("small", [0, 300, 10**9])
+def test_matching_is_the_largest_by_brute_force(monkeypatch, small):
+    monkeypatch.setattr(H, "SMALL", small)
+    rng = np.random.default_rng(5)
+
+    def draw(depth):
+        name = ["div", "div", "span", "div class=ad"][rng.integers(4)]
+        return f"<{name}>" + "".join(draw(depth - 1) for _ in range(rng.integers(0, 5) if depth else 0)) + f"</{name.split()[0]}>"
+
+    kinds = H.Kinds()
+    for _ in range(40):
+        a, b = (H.parse("<section>" + "".join(draw(2) for _ in range(rng.integers(1, 7))) + "</section>") for _ in range(2))
+        for x in (a, b):
+            kinds.number(x)
+        assert kinds.matching(a.sig, b.sig) == len(checked(kinds, a, b)) == plain_matching(a, b)
+
+
+def test_wide_and_deep_pages_are_aligned_as_small_ones():
+    for n, deep in ((3, 0), (300, 0), (3, 600)):
+        pages, wanted = [], []
+        for k, (above, below) in enumerate(((1, 3), (2, 1), (3, 2), (4, 4))):
+            own = [[f"own text {k} {part} {i} " + "x" * 40 for i in range(n * many)] for part, many in (("a", above), ("b", below))]
+            menu = "".join(f"<p><b>Menu {i}</b></p>" for i in range(n))
+            inner = "".join(f"<p>{t}</p>" for t in own[0]) + menu + "".join(f"<p>{t}</p>" for t in own[1])
+            pages.append("<div>" * deep + inner + "</div>" * deep)
+            wanted.append("\n".join(own[0] + own[1]))
+        assert H.extract_group(pages) == wanted
