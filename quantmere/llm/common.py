@@ -66,6 +66,24 @@ def claim(owner: str) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have executors return memory of work that is over, before another operator begins.
+
+    Heaps of executors grow up to their bound and idle workers keep their caches;
+    neither is freed by itself.  Nothing is read or computed, and where a task of
+    another job runs meanwhile it only pauses.
+    """
+    bounded_batches(spark)
+    cores = spark.sparkContext.defaultParallelism
+
+    def idle(batches):
+        claim("")
+        yield from batches
+
+    spark.range(0, 4 * cores, 1, 4 * cores).mapInPandas(idle, "id long").write.format("noop").mode("overwrite").save()
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return to_bytes(text).translate(WORD_TABLE).split()
 

@@ -66,3 +66,19 @@ def test_stages(spark, tmp_path):
     out = seen["token-ids"].sort_values("start")
     assert len(out) == len(mixed) and (out["start"].to_numpy() == np.concatenate([[0], out["n_tokens"].cumsum().to_numpy()[:-1]])).all()
     assert isinstance(out, pd.DataFrame) and P.ORACLE_SQL is None
+
+
+def test_workers_give_their_caches_back(spark):
+    from quantmere.llm import common as C
+
+    def owners(claimed):
+        def run(batches):
+            if claimed:
+                C.claim(claimed)
+            yield from (pd.DataFrame({"owner": [C._OWNER[0]] * len(b)}) for b in batches)
+
+        return {r.owner for r in spark.range(0, 8, 1, 8).mapInPandas(run, "owner string").collect()}
+
+    assert owners("tokens") == {"tokens"}
+    C.give_back(spark)
+    assert owners(None) == {""}
